@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.llm import mixing, near_dedup, quality
+from lemmata.llm import decontaminate, line_dedup, mixing, near_dedup, quality
 from lemmata.llm.common import shared_folder, table
 
 
@@ -15,11 +15,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs)
 
 
+def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: repeated passages go from all texts but the first."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each near-duplicate group stays."""
     return near_dedup.drop_near_duplicates(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents into which a benchmark item leaked go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents are emitted as often as the mix takes them."""
     return mixing.mix_documents(docs)
@@ -27,7 +37,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_chunks),
     ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
 ]
 
