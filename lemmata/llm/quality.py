@@ -30,7 +30,7 @@ BROADCAST_GROUPS = 100_000
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words lie in a 3-word window that occurs twice or more in ``words`` (a column, not an expression).
+    """How many words lie in a 3-word window that occurs twice or more in ``words`` (a bound variable, not an expression).
 
     Sorting the windows' hashes puts equal ones side by side: n log n within the row, whatever the text repeats.
     """
@@ -46,16 +46,16 @@ def repeated_words(words: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed and _sym, _dup, _rep, _wl."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    d = d.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    # Bound by transform and made by a generator, so that no later filter brings the optimizer to compute them again.
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("_n_words"), repeated_words(w).alias("_n_repeat_words"))
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("_n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("_n_dup_lines"))
+    d = docs.select("*", F.inline(F.transform(F.array(words), of_words))).select("*", F.inline(F.transform(F.array(lines), of_lines)))
     d = d.withColumns({
-        "_n_words": F.size("_words").cast("long"),
         "_word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "_n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "_n_lines": F.size("_lines").cast("long"),
-        "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_n_repeat_words": repeated_words(F.col("_words")),
-    }).drop("_words", "_lines")
+    })
     per = lambda a, b, k: F.floor(k * F.col(a) / F.greatest(F.col(b), F.lit(1)))
     d = d.withColumns({"_sym": per("_n_symbols", "_word_chars", 1000), "_dup": per("_n_dup_lines", "_n_lines", 1000), "_rep": per("_n_repeat_words", "_n_words", 1000), "_wl": per("_word_chars", "_n_words", 100)})
     return d.withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))).drop("_n_lines")
