@@ -36,7 +36,7 @@ from .common import END, WordHashes, checkpoint, mix, rounds, row_key, signed, t
 #: Prior weight of the word distribution against a history's own counts.
 MU = 1000.0
 #: Bits of filter per (bigram, level) entry and number of hash functions: about 0.3 % false positives.
-BITS_PER_ENTRY, HASHES = 12, 7
+BITS_PER_ENTRY, HASHES = 12, 6
 #: Training tokens per filter block, in the mean.
 BLOCK_TOKENS = 1 << 17
 #: Most bytes of filter and word counts that one round broadcasts.
@@ -68,6 +68,13 @@ def tokens_of(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(starts, np.int64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what the vector operations hold at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def histories(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The token before each token, START before the first of a text."""
     before = np.empty_like(tokens)
@@ -108,7 +115,7 @@ def counted(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 def _gather(batches: Iterator[pa.RecordBatch], make, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of what ``make`` takes from each batch, handed on whenever over ``limit`` values are held."""
     hashes, values, counts, held = WordHashes(), [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         found, n = counted([v := make(*tokens_of(batch, hashes))], [np.ones(len(v), np.int64)])
         values.append(found)
         counts.append(n)
@@ -131,9 +138,9 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def probe_positions(entry: np.ndarray, bits: np.ndarray, k: int) -> np.ndarray:
-    """The k-th bit of each entry in a block of so many bits."""
-    first, second = entry, (mix(entry ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1))
-    return (first + np.uint64(k) * second) % bits
+    """The k-th bit of each entry in a block of so many (under 2 ** 32) bits: double hashing by the entry's halves."""
+    low = np.uint64(0xFFFFFFFF)
+    return (((entry >> np.uint64(32)) + np.uint64(k) * (entry & low | np.uint64(1)) & low) * bits) >> np.uint64(32)
 
 
 def entries(key: np.ndarray, level: int) -> np.ndarray:
@@ -300,7 +307,7 @@ def score_documents(docs: DataFrame, held_out: Column, mu: float = MU, broadcast
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hashes, part = WordHashes(), shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 tokens, starts = tokens_of(batch, hashes)
                 known, base, model = part.score(tokens, starts, mu)
                 lengths = np.diff(np.append(starts, len(tokens)))
