@@ -1,14 +1,15 @@
 """MinHash near-duplicate detection with odd sketches.
 
 1. Each document's word shingles are hashed; documents of equal shingle sets are one node (its least doc_id).
-2. Each node gets MinHash samples. Bands of samples make bucket keys; the samples, folded into parity bitmaps of 512
-   bits (odd sketches), tell similar from dissimilar nodes by the population count of an XOR: two nodes that differ in
-   d samples differ in at most 2 d bits, so a bound on the count rejects no similar pair except with the probability
-   that d is far above its mean (under 1e-7).
-3. Each node is first checked against the bucket leader nearest by sketch; links are confirmed on full shingle sets,
-   and components made of them.
+2. Each node gets MinHash samples, and bands of samples make bucket keys. Its shingles' own hashes (the samples of a
+   one-permutation MinHash with a bin for every hash value) are folded into a parity bitmap of 1,024 bits, an odd
+   sketch. The population count of two sketches' XOR is at most the size of the sets' symmetric difference, which at
+   the threshold is (1 - t) / (1 + t) of both sizes: a pair above that can't link, so the sketch loses nothing.
+3. Each node is first checked against two of its neighbours: bucket leaders, and those next to it when a bucket is in
+   hashed order. Links are confirmed on full shingle sets, and components made of them.
 4. What remains are pairs that share a bucket and aren't connected yet. All of these that the sketch doesn't reject are
-   confirmed on full sets too. Pairs within a component are never made, so groups of copies stay linear.
+   made once, from the first bucket that they share, and confirmed on full sets too. Pairs within a component are never
+   made, so groups of copies stay linear.
 
 No bucket is capped. A link is missed only if all bands miss it (under 1e-7 at the threshold).
 
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, checkpoint, mix, signed, table, words_lower
 from .graph import components
 
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
+#: Neighbours that a node is checked against before all open pairs are.
+FIRST_TRIES = 2
 MISS = 1e-7
 SAMPLES = 192
 
@@ -45,14 +48,6 @@ def banding(percent: int) -> tuple[int, int]:
     return 1, SAMPLES
 
 
-def most_bits(percent: int, samples: int) -> int:
-    """The XOR count that a pair at the threshold exceeds with a probability under MISS."""
-    p, tail, d = 1 - percent / 100, 0.0, samples
-    while d and tail + (more := math.comb(samples, d) * p**d * (1 - p) ** (samples - d)) < MISS:
-        tail, d = tail + more, d - 1
-    return 2 * d
-
-
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
     """The distinct 64-bit hashes of all shingles, sorted."""
     if not words:
@@ -82,15 +77,15 @@ def signature(shingles: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parities of SKETCH_BITS bits over all (sample number, sample) pairs, as longs."""
-    at = mix(samples + np.arange(len(samples), dtype=np.uint64)) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of SKETCH_BITS bits over all shingles, as longs."""
+    at = mix(shingles) % np.uint64(SKETCH_BITS)
     parity = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
 def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, two longs f1 and f2 that tell sets apart, bands (array of long), sketch (8 longs)."""
+    """doc_id, n_shingles, two longs f1 and f2 that tell sets apart, bands (array of long), sketch (array of long)."""
     seed = seeds(rows * bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +106,7 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
                 for r in range(rows):
                     band = mix(band + m[r::rows])
                 keys.append(signed(band))
-                sketch.append(odd_sketch(m))
+                sketch.append(odd_sketch(s))
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": n, "f1": f1, "f2": f2, "bands": pa.array(keys, kind), "sketch": pa.array(sketch, kind)})
 
@@ -149,11 +144,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def unlike(a: str, b: str, percent: int, samples: int):
+def unlike(a: str, b: str, percent: int):
     """True for pairs whose sizes or odd sketches rule a link out."""
     bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) < percent * F.greatest(n, m)) | (bits > most_bits(percent, samples))
+    return (100 * F.least(n, m) < percent * F.greatest(n, m)) | ((100 + percent) * bits > (100 - percent) * (n + m))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -162,34 +157,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents link when 100 * |A and B| >= percent * |A or B| over their sets of ``width``-word shingles.
     """
     rows, bands = banding(percent)
-    samples = rows * bands
     every = checkpoint(signatures(docs, width, rows, bands))
     least = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     least = checkpoint(least)
     nodes = every.join(least.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     nodes = checkpoint(nodes.select("doc_id", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)), "bands"))
     sketches = nodes.drop("bands")
-    members = nodes.select("doc_id", F.explode("bands").alias("key"))
+    members = nodes.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", "band", F.xxhash64("band", "value").alias("key"))
     leaders = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
     # The key of a bucket's members that aren't alone: all later steps go by these.
     shared = checkpoint(members.join(leaders, "key"))
-    stars = shared.where("doc_id != lead").select("lead", "doc_id").distinct().alias("p")
-    stars = stars.join(sketches.alias("y"), F.col("p.doc_id") == F.col("y.doc_id")).join(sketches.alias("x"), F.col("p.lead") == F.col("x.doc_id"))
-    bits = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    stars = stars.where(~unlike("x", "y", percent, samples)).select(F.col("p.lead").alias("a"), F.col("p.doc_id").alias("b"), bits.alias("bits"))
-    nearest = stars.groupBy("b").agg(F.min_by("a", "bits").alias("a"))
+    beside = F.lag("doc_id").over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key")))
+    chain = shared.select(F.col("doc_id").alias("b"), beside.alias("a")).where("a IS NOT NULL")
+    tries = shared.select(F.col("doc_id").alias("b"), F.col("lead").alias("a")).unionAll(chain).where("a != b")
+    tries = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().alias("p")
+    tries = tries.join(sketches.alias("y"), F.col("p.b") == F.col("y.doc_id")).join(sketches.alias("x"), F.col("p.a") == F.col("x.doc_id"))
+    tries = tries.where(~unlike("x", "y", percent)).select("p.a", "p.b")
+    some = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
+    tries = tries.withColumn("k", some).where(F.col("k") <= FIRST_TRIES).select("a", "b")
     texts = docs.select("doc_id", "text")
     twins = every.where("doc_id IS NOT NULL AND n_shingles > 0").join(least, ["f1", "f2", "n_shingles"]).where("doc_id != rep")
     # A document of several differing rows stands for all of its sets.
     several = twins.join(nodes.select("doc_id"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = checkpoint(confirmed(nearest.select("a", "b"), texts, width, percent).unionAll(several))
+    links = checkpoint(confirmed(tries, texts, width, percent).unionAll(several))
     labels = components(links)
     label = F.coalesce("component", "doc_id").alias("label")
-    shared = shared.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label)
+    shared = shared.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "band", "doc_id", label)
     mixed = shared.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    open_ = checkpoint(shared.join(mixed, "key").join(sketches, "doc_id"))
+    open_ = checkpoint(shared.join(mixed, "key").join(nodes, "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & ~unlike("x", "y", percent, samples))
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)) == F.col("x.band") + 1
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & ~unlike("x", "y", percent) & first)
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = checkpoint(confirmed(rest, texts, width, percent))
     if not more.isEmpty():
