@@ -32,9 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
+    """Materialise ``df`` in the shared folder and cut its lineage.
+
+    Spark deletes the shuffle files behind it once the driver's JVM has collected their last reference, which an idle
+    heap puts off, so a collection is asked for here: what loops leave on disk is then one round, not all of them.
+    """
+    context = df.sparkSession.sparkContext
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    context._jvm.java.lang.System.gc()
+    return cut
 
 
 def lower_ascii(c: Column) -> Column:

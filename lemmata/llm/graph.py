@@ -11,7 +11,8 @@ from .common import checkpoint
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
     """One step: every node links its neighbours to the least node it knows.
 
-    ``small``: the neighbours below a node, and the node itself; else the neighbours above it.
+    ``small``: the neighbours below a node, and the node itself; else the neighbours above it. The latter gives at most
+    one link for each that it gets, so only the former makes them distinct.
     """
     if small:
         sides = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -23,7 +24,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    out = out.where(F.col("a") != F.col("b"))
+    return out.distinct() if small else out
 
 
 def components(edges: DataFrame) -> DataFrame:
