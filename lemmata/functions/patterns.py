@@ -37,3 +37,8 @@ GENERIC = ("the paper needs more explanation", "more details would be helpful",
 # Regex candidates as (bucket, pattern, group of the content, element type or group of it, confidence).
 SECTION = r"\\(section|subsection|subsubsection)(?:\*?)?\{([^}]+)\}"
 CANDIDATE_ENVIRONMENTS = ("theorem", "lemma", "proposition", "corollary", "definition")
+# Environments read within sections, in order.
+SECTION_PATTERNS = {t: ENTITY_PATTERNS[t] for t in ("theorem", "definition", "lemma", "proposition", "corollary", "remark")} | {
+    "equation": r"(?s)\\begin\{equation\}(.*?)\\end\{equation\}",
+    "equation_star": r"(?s)\\begin\{equation\*\}(.*?)\\end\{equation\*\}",
+}

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import tree as R
 from .corpus import PAPERS_SQL, papers
 
 
@@ -30,6 +31,10 @@ INPUT = "CASE page_id % 6 WHEN 0 THEN concat('https://arxiv.org/abs/', CAST(1000
 NUMBERED = "concat(CASE doc_id % 4 WHEN 0 THEN 'Theorem ' WHEN 1 THEN 'LEMMA ' WHEN 2 THEN 'Definition ' ELSE 'see ' END, CAST(doc_id AS STRING), ' ', text)"
 
 
+#: Every lemma of the derived papers ends as another environment.
+MISMATCHED = r"replace(tex, r'\end{lemma}', r'\end{theorem}')"
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"), F.expr(REVIEW_TEXT).alias("text"))
 
@@ -79,6 +84,11 @@ QUERIES = {
     "preamble_packages": _papers(D.packages),
     "section_tree": _papers(lambda p: D.section_tree(p).withColumn("content_length", F.length("raw_content")).drop("raw_content")),
     "section_paragraphs": _papers(lambda p: D.paragraphs(D.section_tree(p))),
+    "custom_commands": _papers(R.custom_commands),
+    "section_elements": _papers(lambda p: R.section_elements(D.section_tree(p)).drop("type_ord", "pos")),
+    "tree_coverage": _papers(lambda p: R.tree_coverage(p, s := D.section_tree(p), R.section_elements(s))),
+    "problem_areas": _papers(lambda p: R.first_areas(D.merged_intervals(R.problem_areas(p.withColumn("tex", F.expr(MISMATCHED)))))),
+    "latex_reconstruction": _papers(lambda p: R.reconstructed(p, s := D.section_tree(p), R.section_elements(s), D.paragraphs(s)).select("paper_id", F.length("latex").alias("chars"))),
     "original_counts": _papers(D.original_counts),
     "label_resolution": _papers(D.label_resolution),
     "math_sets": _papers(D.math_sets),
@@ -163,7 +173,27 @@ _COUNT = lambda p: f"CAST(len(regexp_extract_all(tex, '{p}')) AS BIGINT)"  # noq
 _TITLE = r"regexp_extract(tex, '(?s)\\title\{(.*?)\}', 1)"
 _ABSTRACT = r"regexp_extract(tex, '(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}', 1)"
 
+_KINDS = " UNION ALL ".join(
+    rf"SELECT paper_id, section_id, {o} AS type_ord, '{k}' AS type, CAST(generate_subscripts(regexp_extract_all(raw, '{p}'), 1) AS INTEGER) AS pos, unnest(regexp_extract_all(raw, '{p}')) AS m FROM contents" for o, (k, p) in enumerate(P.SECTION_PATTERNS.items())
+)
+_KIND_GROUP = lambda n: "coalesce(CASE type " + " ".join(f"WHEN '{k}' THEN regexp_extract(m, '{p}', {n})" for k, p in P.SECTION_PATTERNS.items() if n == 1 or not k.startswith("equation")) + " ELSE '' END, '')"
+_ELEMENTS = rf"""{_TREE}, contents AS (SELECT paper_id, section_id, p || more AS raw FROM sections), kinds AS ({_KINDS}),
+once AS (SELECT * FROM kinds QUALIFY row_number() OVER (PARTITION BY paper_id, m ORDER BY section_id, type_ord, pos) = 1),
+bodies AS (SELECT *, {_KIND_GROUP(1)} AS g1, {_KIND_GROUP(2)} AS g2, row_number() OVER (PARTITION BY paper_id, replace(type, '_star', '') ORDER BY section_id, type_ord, pos) AS number FROM once),
+elements AS (SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, type, CAST(number AS INTEGER) AS number, nullif(regexp_extract(CASE WHEN g2 <> '' THEN g2 ELSE g1 END, '\\label\{{(.*?)\}}', 1), '') AS label, CASE WHEN type LIKE 'equation%' THEN '' ELSE g1 END AS name,
+ regexp_replace(CASE WHEN g2 <> '' THEN g2 ELSE g1 END, '{R.PROOF}', '') AS content, nullif(regexp_extract(CASE WHEN g2 <> '' THEN g2 ELSE g1 END, '{R.PROOF}', 1), '') AS proof FROM bodies)"""
+_COMMAND = r"(?s)\\newcommand\{(.+?)\}(?:\[(\d+)\])?\{(.+?)\}"
+_SHARE = lambda a, b: f"CASE WHEN {b} > 0 THEN coalesce({a}, 0)::DOUBLE / {b} ELSE 0 END"
+
 SQL = {
+    "custom_commands": rf"WITH {PAPERS_SQL}, p AS (SELECT paper_id, regexp_extract_all(regexp_extract(tex, '(?s)^(.*?)\\begin\{{document\}}', 1), '{_COMMAND}') AS m FROM papers), u AS (SELECT paper_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS m FROM p) SELECT paper_id, pos, regexp_extract(m, '{_COMMAND}', 1) AS name, coalesce(nullif(regexp_extract(m, '{_COMMAND}', 2), ''), '0') AS n_args, regexp_extract(m, '{_COMMAND}', 3) AS definition FROM u",
+    "section_elements": f"WITH {_ELEMENTS} SELECT * FROM elements",
+    "tree_coverage": rf"""WITH {_ELEMENTS}, ns AS (SELECT s.paper_id, count(*) FILTER (s.parent_id IS NULL) AS top, bool_and(s.level = CASE WHEN s.parent_id IS NULL THEN 1 WHEN s.level = 3 AND q.level = 2 THEN 3 ELSE 2 END) AS nested FROM sections s LEFT JOIN sections q ON q.paper_id = s.paper_id AND q.section_id = s.parent_id GROUP BY 1),
+ne AS (SELECT paper_id, count(*) FILTER (type NOT LIKE 'equation%') AS els, count(*) FILTER (type LIKE 'equation%') AS eqs FROM elements GROUP BY 1),
+nl AS (SELECT paper_id, list(DISTINCT label) AS labels FROM (SELECT paper_id, label FROM sections UNION ALL SELECT paper_id, label FROM elements) WHERE label <> '' GROUP BY 1),
+o AS (SELECT paper_id, {_COUNT(r'\\section\{')} AS secs, {' + '.join(_COUNT(rf'\\begin\{{{e}\}}') for e in ('theorem', 'definition', 'lemma', 'proposition', 'corollary'))} AS thms, {_COUNT(r'\\begin\{equation\}')} AS equations, list_distinct(regexp_extract_all(tex, '\\(?:ref|eqref)\{{([^}}]+)\}}', 1)) AS refs FROM papers)
+SELECT o.paper_id, {_SHARE('top', 'secs')} AS section_coverage, {_SHARE('els', 'thms')} AS element_coverage, {_SHARE('eqs', 'equations')} AS equation_coverage, {_SHARE('len(list_intersect(refs, labels))', 'len(refs)')} AS label_resolution, coalesce(nested, true) AS hierarchy_ok
+FROM o LEFT JOIN ns USING (paper_id) LEFT JOIN ne USING (paper_id) LEFT JOIN nl USING (paper_id)""",
     "paper_metadata": rf"WITH {PAPERS_SQL} SELECT paper_id, {_clean(_TITLE)} AS title, list_aggregate(list_transform(regexp_extract_all(tex, '(?s)\\author\{{(.*?)\}}', 1), lambda a: {_clean('a')}), 'string_agg', '; ') AS authors, {_clean(_ABSTRACT)} AS abstract FROM papers",
     "section_titles": rf"WITH {PAPERS_SQL} SELECT paper_id, unnest(regexp_extract_all(tex, '\\section\{{([^\n]*?)\}}', 1)) AS title, CAST(generate_subscripts(regexp_extract_all(tex, '\\section\{{([^\n]*?)\}}', 1), 1) - 1 AS INTEGER) AS pos FROM papers",
     "latex_entities": f"WITH {ENTITIES_SQL} SELECT paper_id, type, idx, name, label, content, CASE WHEN length(content) > 200 THEN left(content, 197) || '...' ELSE content END AS display_content FROM entities",
