@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators import assisted as A
 from ..operators import documents as D
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import reports
 from ..operators import tree as R
 from .corpus import PAPERS_SQL, papers
 
@@ -51,6 +53,19 @@ def _papers(f):
     return lambda spark, sf_dir: f(papers(spark, sf_dir))
 
 
+def _reported(f):
+    return lambda spark, sf_dir: f(p := papers(spark, sf_dir), E.latex_entities(p))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir)
+    s = D.section_tree(p)
+    e = R.section_elements(s)
+    tree = R.tree_quality(p, R.tree_coverage(p, s, e), R.reconstructed(p, s, e, D.paragraphs(s)))
+    offline = A.reviews(A.review_prompts(p, E.latex_entities(p))).withColumnRenamed("paper_id", "review_id")
+    return A.pipeline_status(tree, D.review_score(D.review_features(offline)).withColumnRenamed("review_id", "paper_id"))
+
+
 def _on_graph(f):
     return lambda spark, sf_dir: f(*_graph(spark, sf_dir))
 
@@ -81,6 +96,13 @@ QUERIES = {
     "graph_recommendations": _entities(lambda e: G.recommendations(G.quality(e))),
     "export_dot": _on_graph(G.dot_lines),
     "export_mermaid": _on_graph(G.mermaid_lines),
+    "export_graphml": _on_graph(reports.graphml_lines),
+    "export_html": _on_graph(reports.html),
+    "analysis_json": _reported(reports.analysis_json),
+    "analysis_markdown": _reported(reports.analysis_markdown),
+    "review_prompts": _reported(A.review_prompts),
+    "offline_verdicts": _papers(lambda p: A.verified(D.regex_candidates(p), most=None).select("paper_id", "element_type", "verdict.statement", "verdict.is_valid")),
+    "pipeline_status": _status,
     "preamble_packages": _papers(D.packages),
     "section_tree": _papers(lambda p: D.section_tree(p).withColumn("content_length", F.length("raw_content")).drop("raw_content")),
     "section_paragraphs": _papers(lambda p: D.paragraphs(D.section_tree(p))),
@@ -167,6 +189,7 @@ _FEATURES = "r AS (SELECT conv_id * 1000 + turn AS review_id, " + REVIEW_TEXT +
 _POINTS = " + ".join(f"CAST({n} AS INTEGER) * {p}" for n, p in [*((n, p) for n, _, _, p in P.REVIEW), ("constructive", 5), ("avoids_generic", 5)])
 _GRADE = "CASE WHEN overall_score >= 85 THEN 'A' WHEN overall_score >= 70 THEN 'B' WHEN overall_score >= 55 THEN 'C' WHEN overall_score >= 40 THEN 'D' ELSE 'F' END"
 _COLOR = "CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in P.COLORS.items()) + f" ELSE '{P.DEFAULT_COLOR}' END"
+_XML = lambda c: rf"""replace(replace(replace(replace(left(regexp_replace({c}, '[\x01-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
 _SAFE = lambda c: f"regexp_replace({c}, '[^a-zA-Z0-9_]', '_', 'g')"
 _COUNT = lambda p: f"CAST(len(regexp_extract_all(tex, '{p}')) AS BIGINT)"
 
@@ -208,6 +231,8 @@ FROM o LEFT JOIN ns USING (paper_id) LEFT JOIN ne USING (paper_id) LEFT JOIN nl
     "graph_quality": f"WITH {_QUALITY} SELECT paper_id, {', '.join(P.CATEGORIES.values())}, total, n, m, isolated, connected_ratio, isolated_ratio, density, c1 / 100.0::DOUBLE AS coverage, c2 / 100.0::DOUBLE AS connectivity, c3 / 100.0::DOUBLE AS balance, c4 / 100.0::DOUBLE AS completeness, c5 / 100.0::DOUBLE AS density_score, o / 10000.0::DOUBLE AS overall, CASE WHEN o >= 9000 THEN 'A' WHEN o >= 8000 THEN 'B' WHEN o >= 7000 THEN 'C' WHEN o >= 6000 THEN 'D' ELSE 'F' END AS grade FROM quality",
     "graph_recommendations": f"WITH {_QUALITY}, l AS (SELECT paper_id, list_filter([CASE WHEN c1 < 50 THEN 'entity_detection' END, CASE WHEN c2 < 50 THEN 'dependencies' END, CASE WHEN c3 < 60 AND definitions = 0 THEN 'definitions' END, CASE WHEN c3 < 60 AND theorems = 0 AND lemmas = 0 THEN 'main_results' END, CASE WHEN c4 < 50 THEN 'completeness' END, CASE WHEN c5 < 50 THEN 'too_sparse' WHEN c5 > 80 THEN 'very_dense' END], lambda x: x IS NOT NULL) AS r FROM quality), l2 AS (SELECT paper_id, CASE WHEN len(r) = 0 THEN ['overall_good'] ELSE r END AS r FROM l) SELECT paper_id, CAST(generate_subscripts(r, 1) - 1 AS INTEGER) AS pos, unnest(r) AS recommendation FROM l2",
     "export_dot": f"""WITH {_GRAPH} SELECT paper_id, '  "' || replace(node_id, '"', '\\"') || '" [label="' || replace(replace(name, '"', '\\"'), chr(10), ' ') || '", fillcolor="' || {_COLOR} || '", style="filled,rounded"];' AS line FROM nodes UNION ALL SELECT paper_id, '  "' || replace(src, '"', '\\"') || '" -> "' || replace(dst, '"', '\\"') || '";' FROM edges""",
+    "export_graphml": f"""WITH {_GRAPH} SELECT paper_id, '<node id="' || {_XML('node_id')} || '"><data key="type">' || type || '</data><data key="name">' || {_XML('name')} || '</data></node>' AS line FROM nodes UNION ALL SELECT paper_id, '<edge source="' || {_XML('src')} || '" target="' || {_XML('dst')} || '"/>' FROM edges""",
+    "offline_verdicts": f"WITH {_CANDIDATES} SELECT paper_id, element_type, left(content, 200) AS statement, true AS is_valid FROM candidates WHERE needs_verification",
     "export_mermaid": f"""WITH {_GRAPH} SELECT paper_id, '    ' || {_SAFE('node_id')} || '["' || replace(replace(replace(replace(name, '[', '&#91;'), ']', '&#93;'), '(', '&#40;'), ')', '&#41;') || '"]' AS line FROM nodes UNION ALL SELECT paper_id, '    class ' || {_SAFE('node_id')} || ' ' || type || ';' FROM nodes WHERE type IN ({', '.join(f"'{t}'" for t in P.COLORS)}) UNION ALL SELECT paper_id, '    ' || {_SAFE('src')} || ' --> ' || {_SAFE('dst')} FROM edges""",
     "preamble_packages": rf"WITH {PAPERS_SQL}, p AS (SELECT paper_id, regexp_extract_all(regexp_extract(tex, '(?s)^(.*?)\\begin\{{document\}}', 1), '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}') AS m FROM papers), u AS (SELECT paper_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS m FROM p) SELECT paper_id, pos, regexp_extract(m, '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}', 2) AS name, coalesce(regexp_extract(m, '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}', 1), '') AS options FROM u",
     "section_tree": f"WITH {_TREE} SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, CAST(parent_id AS INTEGER) AS parent_id, level, type, title, label, CAST(length(p) + length(more) AS INTEGER) AS content_length FROM sections",
