@@ -6,7 +6,7 @@
    sketch. The population count of two sketches' XOR is at most the size of the sets' symmetric difference, which at
    the threshold is (1 - t) / (1 + t) of both sizes: a pair above that can't link, so the sketch loses nothing.
 3. Each node is first checked against two of its neighbours: bucket leaders, and those next to it when a bucket is in
-   hashed order. Links are confirmed on full shingle sets, and components made of them.
+   hashed order (large buckets are ordered in parts, so no task sees a whole one). Links are confirmed on full shingle sets, and components made of them.
 4. What remains are pairs that share a bucket and aren't connected yet. All of these that the sketch doesn't reject are
    made once, from the first bucket that they share, and confirmed on full sets too. Pairs within a component are never
    made, so groups of copies stay linear.
@@ -35,6 +35,8 @@ from .graph import components
 SKETCH_BITS = 1024
 #: Neighbours that a node is checked against before all open pairs are.
 FIRST_TRIES = 2
+#: Members of a bucket that are put in order together; larger buckets are split by hash into parts of about this size.
+ORDERED = 256
 MISS = 1e-7
 SAMPLES = 192
 
@@ -164,10 +166,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = checkpoint(nodes.select("doc_id", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)), "bands"))
     sketches = nodes.drop("bands")
     members = nodes.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", "band", F.xxhash64("band", "value").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    leaders = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    leaders = leaders.select("key", "lead", F.ceil(F.col("c") / ORDERED).alias("parts"))
     # The key of a bucket's members that aren't alone: all later steps go by these.
     shared = checkpoint(members.join(leaders, "key"))
-    beside = F.lag("doc_id").over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key")))
+    beside = F.lag("doc_id").over(Window.partitionBy("key", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).orderBy(F.xxhash64("doc_id", "key")))
     chain = shared.select(F.col("doc_id").alias("b"), beside.alias("a")).where("a IS NOT NULL")
     tries = shared.select(F.col("doc_id").alias("b"), F.col("lead").alias("a")).unionAll(chain).where("a != b")
     tries = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().alias("p")
