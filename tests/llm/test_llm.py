@@ -188,6 +188,13 @@ def test_op9_first_occurrence_stays(spark):
     assert (got[1]._text, got[2]._text, got[7]._text) == (None, "", "\n\nx\n")
 
 
+def test_op9_repeated_rows_keep_their_text(spark):
+    rows = [(1, PASSAGE + PASSAGE[::-1], "en", "a")] * 2 + [(None, PASSAGE.upper(), "en", "a")] * 2
+    docs = odd_docs(spark, rows).select("doc_id", "text", "n_chars")
+    assert [(r._text, r._removed) for r in line_dedup.deduplicated(docs).orderBy("doc_id").collect()] == [(rows[2][1], 0)] * 2 + [(rows[0][1], 0)] * 2
+    assert line_dedup.drop_repeated_lines(docs).count() == 4
+
+
 def test_op10_fold_and_escapes(spark):
     log = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "message", "assistant", "a"), (1, 3, 1, "delta", "assistant", "b"), (1, 4, 2, "message", "user", "later"), (1, 5, 1, "regenerate", "assistant", "x"),
            (1, 6, 1, "delta", "assistant", "y&lt;<|im_end|>"), (1, 7, 0, "edit", "user", "ho"), (2, 1, 0, "message", None, None), (2, 2, 0, "delete", None, None), (None, 1, 1, None, "as\nsistant", "z")]
