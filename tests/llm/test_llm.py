@@ -195,6 +195,32 @@ def test_op9_repeated_rows_keep_their_text(spark):
     assert line_dedup.drop_repeated_lines(docs).count() == 4
 
 
+def spoken(seed, n):
+    """``n`` made-up words, without stops."""
+    return [f"w{zlib.crc32(f'{seed} {i}'.encode()) % 100_000}" for i in range(n)]
+
+
+def test_op9_passages_of_fifty_words_go_whole(spark):
+    rows, left = [], {}
+    for k in range(40):
+        p, around = spoken(k, 50), [spoken(f"{k} {x}", 30) for x in "abcd"]
+        second = [" ".join(p), "\n".join(" ".join(p[i : i + 9]) for i in range(0, 50, 9))][k % 2]
+        rows += [(2 * k, " ".join((*around[0], *p, *around[1]))), (2 * k + 1, " ".join((*around[2], second, *around[3])))]
+        left |= {2 * k: rows[-2][1], 2 * k + 1: " ".join((*around[2], *around[3]))}
+    rows += [(1000 + k, "".join(chr(0x4E00 + zlib.crc32(f"{k if i < 40 else 0} {i}".encode()) % 5000) for i in range(240))) for k in (1, 2)]
+    left |= {1001: rows[-2][1], 1002: rows[-1][1][:40]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r._text for r in line_dedup.deduplicated(docs).collect()} == left
+
+
+def test_op9_tokens_are_the_words(spark):
+    odd = ["  a b", "a \n", "漢字 abc漢x y", "x" * 40 + " " + "y" * 17 + "\tz", "", " ", "ไทย"]
+    rows = spark.createDataFrame([(t,) for t in [*odd, *documents().values()]], "text string").select("text", line_dedup.words_of(F.col("text")).alias("w"), line_dedup.tokens_of(F.col("text")).alias("t")).collect()
+    for r in rows:
+        assert "".join(r.t) == r.text
+        assert [x.rstrip(" \n\t\r\v\f") for x in r.t] == (r.w if len(r.w) == len(r.t) else r.w[:-1])
+
+
 def test_op10_fold_and_escapes(spark):
     log = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "message", "assistant", "a"), (1, 3, 1, "delta", "assistant", "b"), (1, 4, 2, "message", "user", "later"), (1, 5, 1, "regenerate", "assistant", "x"),
            (1, 6, 1, "delta", "assistant", "y&lt;<|im_end|>"), (1, 7, 0, "edit", "user", "ho"), (2, 1, 0, "message", None, None), (2, 2, 0, "delete", None, None), (None, 1, 1, None, "as\nsistant", "z")]
