@@ -7,9 +7,14 @@ whose share of labelled bad pages doesn't differ from that of all of them by mor
 into the parent's wildcard; a branch without labels shows no likeness and stays by itself. A template is blocked when
 its smoothed purity
 
-    (bad + strength * prior) / (labelled + strength)
+    (bad + strength * pooled) / (labelled + strength)
 
-is over ``purity``, so a template without labels has the prior and is allowed.
+is over ``purity``. The prior of a path is pooled over the other hosts: of those that have labels for paths of the same
+form, ``against`` of ``votes`` have mostly bad ones (one vote each, so no host decides by its size), and
+
+    pooled = (against + strength * prior) / (votes + strength)
+
+so pages that no rule reaches are judged by what the rules say of such paths elsewhere.
 
 DataFrame functions only. Counts are partial aggregates by (host, template), so a host of a third of all pages is a few
 rows; the join of pages and templates may be split by Spark where a template is hot.
@@ -80,9 +85,15 @@ def templates(pages: DataFrame, fan: int = FAN, z: float = Z, strength: float =
     named = parts.join(c, ["host", "parent", "depth", "segment"]).groupBy("host", "form", "n", "labelled", "bad")
     named = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "kept"))), lambda x: x["kept"]), "/").alias("template"))
     sums = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    sums = sums.withColumn("purity", (F.col("bad") + strength * prior) / (F.col("labelled") + strength))
-    sums = sums.select("host", "template", "labelled", "bad", "purity", (F.col("purity") > purity).alias("reject"))
-    return named.select("host", "form", "template").join(sums, ["host", "template"])
+    against = (2 * F.col("bad") > F.col("labelled")).cast("long")
+    pool = leaves.where("labelled > 0").groupBy("form").agg(F.count("*").alias("votes"), F.sum(against).alias("against"))
+    # A host's own vote doesn't count in its prior.
+    own = named.select("host", "form", "template", (F.col("labelled") > 0).cast("long").alias("own"), against.alias("own_against"))
+    out = own.join(sums, ["host", "template"]).join(pool, "form", "left")
+    others = lambda c, mine: F.coalesce(F.col(c) - F.col(mine), F.lit(0))
+    pooled = (others("against", "own_against") + strength * prior) / (others("votes", "own") + strength)
+    out = out.withColumn("purity", (F.col("bad") + strength * pooled) / (F.col("labelled") + strength))
+    return out.select("host", "form", "template", "labelled", "bad", "purity", (F.col("purity") > purity).alias("reject"))
 
 
 def judged(pages: DataFrame, rules=RULES, **parameters) -> DataFrame:

@@ -136,6 +136,13 @@ def test_op6_rules_and_templates(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_op6_pages_without_rules_are_judged_by_other_hosts(spark):
+    urls = [f"http://h{k}.net/es/{k}" for k in range(9)] + [f"http://h{k}.example.net/en/{k}" for k in range(9)] + ["http://big.net/xx/1"] * 99
+    unruled = ["http://a.org/es/77", "http://a.org/en/77", "http://a.org/xx/1", "http://a.org/never/1"]
+    got = url_filter.judged(spark.createDataFrame(list(enumerate(unruled + urls)), "page_id long, url string")).orderBy("page_id").limit(4).collect()
+    assert [(r._rule, r._verdict) for r in got] == [(None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+
+
 def test_op8_spans_and_ledger(spark):
     texts = documents()
     texts[-1] = "my Password = 'hunter22' é AKIA" + "A1" * 9 + " " + "0f" * 12 + " token: abc secret=token:abcdefgh"
