@@ -2,12 +2,13 @@
 
 Base rules (host and path prefix, the longest that fits wins) decide where one fits. Their verdicts are also the labels
 of a tree of path templates per host: segments that are numbers, long hexadecimal strings, dates or mixed words become
-wildcards by their form, and so do segments of which a parent has more than ``fan`` different ones. Sibling branches
-whose share of labelled bad pages doesn't differ from that of all of them by more than ``z`` standard errors are merged
-into the parent's wildcard; a branch without labels shows no likeness and stays by itself. A template is blocked when
-its smoothed purity
+wildcards by their form. Sibling branches whose share of labelled bad pages doesn't differ from that of all of them by
+more than ``z`` standard errors are merged into the parent's wildcard. A branch without labels shows no likeness: it
+stays by itself, or in the wildcard of all such where a parent has more than ``fan`` different ones, so the width of a
+parent gives no page the labels of others. A path is blocked when its template's smoothed purity, in which pages without
+labels count as its prior says,
 
-    (bad + strength * pooled) / (labelled + strength)
+    (bad + (unlabelled + strength) * pooled) / (labelled + unlabelled + strength)
 
 is over ``purity``. The prior of a path is pooled over the other hosts: of those that have labels for paths of the same
 form, ``against`` of ``votes`` have mostly bad ones (one vote each, so no host decides by its size), and
@@ -79,12 +80,12 @@ def templates(pages: DataFrame, fan: int = FAN, z: float = Z, strength: float =
     share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
     error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
     alike = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= z * error
-    # Wide nodes are variable whatever their labels say.
-    merged = (F.col("k") > 1) & ((F.col("k") > fan) | ((F.col("labelled") > 0) & alike))
-    c = c.select("host", "parent", "depth", "segment", F.when(merged & (F.col("depth") > 0), "*").otherwise(F.col("segment")).alias("kept"))
+    inner = (F.col("k") > 1) & (F.col("depth") > 0)
+    kept = F.when(inner & (F.col("labelled") > 0) & alike, "*").when(inner & (F.col("labelled") == 0) & (F.col("k") > fan), "{u}").otherwise(F.col("segment"))
+    c = c.select("host", "parent", "depth", "segment", kept.alias("kept"))
     named = parts.join(c, ["host", "parent", "depth", "segment"]).groupBy("host", "form", "n", "labelled", "bad")
     named = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "kept"))), lambda x: x["kept"]), "/").alias("template"))
-    sums = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    sums = named.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     against = (2 * F.col("bad") > F.col("labelled")).cast("long")
     pool = leaves.where("labelled > 0").groupBy("form").agg(F.count("*").alias("votes"), F.sum(against).alias("against"))
     # A host's own vote doesn't count in its prior.
@@ -92,7 +93,7 @@ def templates(pages: DataFrame, fan: int = FAN, z: float = Z, strength: float =
     out = own.join(sums, ["host", "template"]).join(pool, "form", "left")
     others = lambda c, mine: F.coalesce(F.col(c) - F.col(mine), F.lit(0))
     pooled = (others("against", "own_against") + strength * prior) / (others("votes", "own") + strength)
-    out = out.withColumn("purity", (F.col("bad") + strength * pooled) / (F.col("labelled") + strength))
+    out = out.withColumn("purity", (F.col("bad") + (F.col("n") - F.col("labelled") + strength) * pooled) / (F.col("n") + strength))
     return out.select("host", "form", "template", "labelled", "bad", "purity", (F.col("purity") > purity).alias("reject"))
 
 

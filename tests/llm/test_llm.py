@@ -143,6 +143,13 @@ def test_op6_pages_without_rules_are_judged_by_other_hosts(spark):
     assert [(r._rule, r._verdict) for r in got] == [(None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
 
 
+@pytest.mark.parametrize("width", [5, 40])
+def test_op6_width_flips_no_verdict(spark, width):
+    urls = [f"http://w.example.com/s{k}/{k}" for k in range(width)] + [f"http://w.example.com/de/{k}" for k in range(9)]
+    got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r._verdict for r in got] == ["allow"] * width + ["block"] * 9
+
+
 def test_op8_spans_and_ledger(spark):
     texts = documents()
     texts[-1] = "my Password = 'hunter22' é AKIA" + "A1" * 9 + " " + "0f" * 12 + " token: abc secret=token:abcdefgh"
