@@ -2,7 +2,7 @@
 
 Four measures of a text (symbols, repeated lines and repeated words per mille, mean word length in hundredths) are
 summed up in quantile sketches per language and source: histograms over fixed buckets, which merge by adding counts, so
-any partition of the rows gives the same sketch. Quantiles of the sketches give the thresholds that replace fixed
+any partition of the rows gives the same sketch. There is no last bucket: far up, buckets widen with their values. Quantiles of the sketches give the thresholds that replace fixed
 cutoffs; the documents are then joined with their thresholds. The spread is taken below the median for the one-sided
 measures, so that a source of which almost half is junk still has the threshold of its better half. Sketches of fewer
 than ``least`` documents are merged by language, and those into one of all documents.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, checkpoint, table
 
 SYMBOLS = "#*$%&|<>"
-#: By measure: width of a bucket, last bucket (it takes all above), slack below and above the quantiles, and whether low values are judged too.
+#: By measure: width of a bucket, number of buckets of that width (above twice that, widths double as values do), slack below and above the quantiles, and whether low values are judged too.
 MEASURES = {"sym": (5, 2000, 0, 60), "dup": (5, 200, 0, 350), "rep": (5, 200, 0, 350), "wl": (10, 1000, 250, 150)}
 SPREADS = 4
 LEAST = 200
@@ -61,9 +61,19 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))).drop("_n_lines")
 
 
+def step(bucket: Column, last: Column) -> Column:
+    """How many widths a bucket has: 1 below 2 * last, 2 below 4 * last and so on, so it is exact to one in ``last``."""
+    return F.pow(F.lit(2), F.length(F.bin(F.floor(bucket / last))) - 1).cast("long")
+
+
+def bucket(value: Column, width: int, last: int) -> Column:
+    b = F.floor(value / width)
+    return b - F.pmod(b, step(b, F.lit(last)))
+
+
 def sketches(measures: DataFrame) -> DataFrame:
     """(level, lang, source, m, b, c): the sketches of every source, language and of all, as bucket counts."""
-    cells = F.array(*(F.struct(F.lit(m).alias("m"), F.least(F.floor(F.col(f"_{m}") / width), F.lit(last)).alias("b")) for m, (width, last, *_) in MEASURES.items()))
+    cells = F.array(*(F.struct(F.lit(m).alias("m"), bucket(F.col(f"_{m}"), width, last).alias("b")) for m, (width, last, *_) in MEASURES.items()))
     one = measures.where("_n_words > 0").select("lang", "source", F.explode(cells).alias("x")).groupBy("lang", "source", "x.m", "x.b").agg(F.count("*").alias("c"))
     langs = one.groupBy("lang", "m", "b").agg(F.sum("c").alias("c"))
     every = langs.groupBy("m", "b").agg(F.sum("c").alias("c"))
@@ -83,8 +93,9 @@ def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
     s = s.groupBy("level", "lang", "source", "m").agg(q(25).alias("q1"), q(50).alias("q2"), q(75).alias("q3"), F.max("n").alias("n"))
     pick = lambda f: F.coalesce(*(F.when(F.col("m") == m, F.lit(f(*v)).cast("long")) for m, v in MEASURES.items()))
     width, below, above = pick(lambda w, l, lo, hi: w), pick(lambda w, l, lo, hi: lo), pick(lambda w, l, lo, hi: hi)
+    last = pick(lambda w, l, lo, hi: l)
     spread = F.when(F.col("m") == "wl", F.col("q3") - F.col("q1")).otherwise(F.col("q2") - F.col("q1"))
-    s = s.select("level", "lang", "source", "m", "n", ((F.col("q2") - SPREADS * spread) * width - below).alias("lo"), ((F.col("q2") + 1 + SPREADS * spread) * width + above).alias("hi"))
+    s = s.select("level", "lang", "source", "m", "n", ((F.col("q2") - SPREADS * spread) * width - below).alias("lo"), ((F.col("q2") + step(F.col("q2"), last) + SPREADS * spread) * width + above).alias("hi"))
     wide = s.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("m") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")))
     ends = [f"{e}_{m}" for m in MEASURES for e in ("lo", "hi")]
     at = lambda level: wide.where(F.col("level") == level)

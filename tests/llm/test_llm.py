@@ -150,6 +150,13 @@ def test_op6_width_flips_no_verdict(spark, width):
     assert [r._verdict for r in got] == ["allow"] * width + ["block"] * 9
 
 
+def test_op7_long_words_are_judged_by_their_source(spark):
+    of = lambda i, n: " ".join(f"{i}-{j}-".ljust(n, "x") for j in range(60))
+    rows = [(i, of(i, 200 + i % 80), "zh", "a") for i in range(210)] + [(999, of(999, 3000), "zh", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    assert sorted(r.doc_id for r in quality.keep_quality(docs).select("doc_id").collect()) == list(range(210))
+
+
 def test_op8_spans_and_ledger(spark):
     texts = documents()
     texts[-1] = "my Password = 'hunter22' é AKIA" + "A1" * 9 + " " + "0f" * 12 + " token: abc secret=token:abcdefgh"
