@@ -126,6 +126,12 @@ def test_op5_rules(spark):
     assert all(licenses.ANCHORS.search(s.lower()) for s in licenses.SENTENCES.values())
 
 
+def test_op5_wrapped_sentences_have_their_anchors(spark):
+    assert all(licenses.ANCHORS.search(s.lower().replace(" ", gap)) for s in licenses.SENTENCES.values() for gap in ("\n", "  ", "\n * "))
+    docs = spark.createDataFrame([(1, "This work is dedicated to the public\ndomain under CC0 1.0")], "doc_id long, text string")
+    assert licenses.licenses(docs).collect() == licenses.licenses(docs, anchors=None).collect() != []
+
+
 def test_op6_rules_and_templates(spark):
     urls = ["http://A.Example.net/en/5?x", "http://b.net", "http://b.net/x", "https://x.example.com/de/1", "https://x.example.com/en/1", "ftp://q.org/fr/", None, "no scheme", "notnet/", "http://xnet/"]
     got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
