@@ -36,10 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Spark deletes the shuffle files behind it once the driver's JVM has collected their last reference, which an idle
     heap puts off, so a collection is asked for here: what loops leave on disk is then one round, not all of them.
+    A caller that passes an expression, not a variable, lets go of the frame that was cut.
     """
     context = df.sparkSession.sparkContext
     shared_folder(df.sparkSession)
     cut = df.checkpoint(eager=True)
+    del df
     context._jvm.java.lang.System.gc()
     return cut
 

@@ -62,10 +62,19 @@ def test_op1_base_scores_and_rounds(spark):
         words = split(t)
         assert one[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words))
         assert (one[i].n_tokens, one[i].n_known, one[i].train_tokens) == (len(words), sum(c[w] > 0 for w in words), total)
-    more = {r.doc_id: r for r in lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, broadcast_bytes=1 << 16).collect()}
-    assert all(more[i].score == pytest.approx(one[i].score) and more[i].n_known == one[i].n_known for i in texts)
+    more = {r.doc_id: r for r in lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, part_bytes=1 << 14, pass_bytes=1 << 16, block_bytes=1 << 13).collect()}
+    # Other blocks have other false positives.
+    assert all(more[i].score == pytest.approx(one[i].score, rel=0.03) and more[i].n_known == one[i].n_known for i in texts)
+    assert all(more[i].base_score == pytest.approx(one[i].base_score) for i in texts)
     out = [r for r in one.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    # The model with exact quantised counts; the filter's false positives are all that may differ.
+    level = lambda ends, n: int(ends[int((lm_scoring.LEVELS <= n).sum())])
+    training = [split(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs, after = Counter(x for t in training for x in zip([b" ", *t], t, strict=False)), c + Counter({b" ": len(training)})
+    p = lambda w: (level(lm_scoring.LOW, c[w]) + 0.5) / (total + 0.5 * (distinct + 1))
+    exact = lambda t: sum(math.log10((level(lm_scoring.LOW, pairs[h, w]) + lm_scoring.MU * p(w)) / (level(lm_scoring.HIGH, after[h]) + lm_scoring.MU)) for h, w in zip([b" ", *t], t, strict=False))
+    assert all(one[i].score == pytest.approx(exact(split(t)), rel=0.02) for i, t in texts.items())
 
 
 def test_op2_against_brute_force(spark):
