@@ -29,11 +29,15 @@ REVIEW = (
     ("actionable", True, (r"should\s+be\s+\w+ed", r"needs\s+to\s+be", r"must\s+provide", r"add\s+a\s+proof", r"clarify\s+that"), 10),
     ("locations", True, (r"in\s+section\s+\d+", r"in\s+theorem\s+\d+", r"after\s+equation", r"before\s+the\s+proof", r"page\s+\d+", r"line\s+\d+"), 5),
 )
+# Phrases of constructive, negative, objective, subjective and generic reviews.
 CONSTRUCTIVE = ("would benefit", "could be improved", "suggest", "recommend")
 NEGATIVE = ("this paper is bad", "poor quality", "not worth", "completely wrong")
 OBJECTIVE = ("the theorem states", "the proof shows", r"equation\s*\(", r"definition\s+\d+\s+implies")
 SUBJECTIVE = ("i think", "i believe", "in my opinion", "obviously", "clearly")
 GENERIC = ("the paper needs more explanation", "more details would be helpful", "the writing could be improved", "some parts are unclear")
+# Keywords of entities in plain text, by type, in order.
+KEYWORDS = {t: (rf"{t.capitalize()}\s+\d+", rf"{t.capitalize()}\.") for t in THEOREM_LIKE}
+KEYWORDS["assumption"] += (r"Assume\s+that",)
 # Regex candidates as (bucket, pattern, group of the content, element type or group of it, confidence).
 SECTION = r"\\(section|subsection|subsubsection)(?:\*?)?\{([^}]+)\}"
 CANDIDATE_ENVIRONMENTS = ("theorem", "lemma", "proposition", "corollary", "definition")

@@ -46,3 +46,16 @@ def short_name(kind: Column, content: Column, idx: Column) -> Column:
     named = F.concat(F.initcap(kind), F.lit(" "), idx)
     other = F.when(cut != "", F.concat(named, F.lit(": "), cut)).otherwise(named)
     return F.when(kind == "equation", equation).otherwise(other)
+
+
+def starts_of(c: Column, pattern: str) -> Column:
+    """EXT-3f: where the matches of a pattern begin, in characters, from the lengths of the matches and what is between."""
+    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = s["at"] + F.length(x["a"])
+        return F.struct((here + F.length(x["b"])).alias("at"), F.concat(s["starts"], F.array(here)).alias("starts"))
+
+    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("a"), found.alias("b"))
+    return F.aggregate(pairs, state, step, lambda s: s["starts"])

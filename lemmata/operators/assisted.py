@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.latex import answered
-from .documents import merged_intervals
+from .documents import candidate_stats, document_body, document_chunks, merged_chunk_results, merged_intervals, regex_candidates
 from .entities import category_statistics, cited_by, metadata
+from .tree import problem_areas
 
 Client = Callable[[str], str]
 # What stands in for a review.
@@ -117,16 +118,57 @@ def parsed_areas(papers: DataFrame, areas: DataFrame, client: Client | None = No
     return found.select("paper_id", "start", F.explode(F.from_json("answer", AREA)).alias("element"))
 
 
-def parsed_chunks(chunks: DataFrame, client: Client | None = None) -> DataFrame:
-    """LLM-8, LLM-9: (paper_id, chunk_index, sections, ..., refs): the client's reading of each chunk, or empty arrays."""
-    ask = F.concat(F.lit("Read this LaTeX, chunk "), F.col("chunk_index").cast("string"), F.lit(f". Answer in JSON with the arrays {', '.join(CHUNK)}; no other text."), _fenced(F.col("chunk"), 6000))
+def parsed_chunks(chunks: DataFrame, client: Client | None = None, most: int = 8000) -> DataFrame:
+    """LLM-8: (paper_id, chunk_index, sections, ..., refs): the client's reading of each chunk, or empty arrays.
+
+    A prompt holds ``most`` characters of its chunk; chunks of ``document_chunks`` are at most that long, unless they are
+    one piece.
+    """
+    ask = F.concat(F.lit("Read this LaTeX, chunk "), F.col("chunk_index").cast("string"), F.lit(f". Answer in JSON with the arrays {', '.join(CHUNK)}; no other text."), _fenced(F.col("chunk"), most))
     found = _ask(chunks.select("paper_id", "chunk_index", ask.alias("prompt")), client)
     found = found.withColumn("x", F.from_json("answer", ", ".join(f"{k} {t}" for k, t in CHUNK.items())))
     return found.select("paper_id", "chunk_index", *(F.coalesce(F.col(f"x.{k}"), F.array().cast(t)).alias(k) for k, t in CHUNK.items()))
 
 
+def chunk_totals(parsed: DataFrame) -> DataFrame:
+    """AGG-11: (paper_id, chunks, sections, elements, equations, citations, labels, refs): what the chunks of a paper hold."""
+    kinds = [k for k in CHUNK]
+    return parsed.groupBy("paper_id").agg(F.count("*").alias("chunks"), *(F.sum(F.size(k)).cast("long").alias(k) for k in kinds))
+
+
+def parsed_papers(papers: DataFrame, client: Client | None = None, max_chars: int = 8000) -> tuple[DataFrame, DataFrame]:
+    """LLM-9: bodies (or whole texts) in chunks, each read by the client: (rows of merged results, totals).
+
+    Rows are (paper_id, chunk_index, kind_ord, pos, label, payload), the first of each label; chunks over the prompt's
+    limit have been cut at environments, so nothing of ``max_chars`` is left out but what is one piece.
+    """
+    chunks = document_chunks(document_body(papers).select("paper_id", F.col("body").alias("tex")), max_chars)
+    parsed = parsed_chunks(chunks, client, max_chars)
+    rows = [parsed.select("paper_id", "chunk_index", F.lit(o).alias("kind_ord"), F.posexplode(F.transform(k, lambda x: F.struct(x["label"].alias("label"), F.to_json(x).alias("payload")))).alias("pos", "x")) for o, k in enumerate(("sections", "elements", "equations"))]
+    every = rows[0].unionAll(rows[1]).unionAll(rows[2]).select("paper_id", "chunk_index", "kind_ord", "pos", "x.label", "x.payload")
+    return merged_chunk_results(every), chunk_totals(parsed)
+
+
+def hybrid_parsed(papers: DataFrame, client: Client | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """LLM-7: patterns first, then the client for what they leave in doubt: (verdicts, elements of problem areas, counts)."""
+    bodies = document_body(papers).select("paper_id", F.col("body").alias("tex"))
+    found = regex_candidates(bodies)
+    return verified(found, client), parsed_areas(bodies, problem_areas(bodies), client), candidate_stats(found)
+
+
+def compared_parsers(stats: DataFrame, client: Client | None = None) -> DataFrame:
+    """LLM-11: (paper_id, score, grade, issues): the client's judgement of parsers by their counts.
+
+    ``stats`` has (paper_id, parser) and counts in the other columns; a summary of them is the text that is judged.
+    """
+    counts = [c for c in stats.columns if c not in ("paper_id", "parser")]
+    line = F.concat(F.col("parser"), F.lit(": "), F.concat_ws(", ", *(F.concat(F.col(c).cast("string"), F.lit(f" {c}")) for c in counts)))
+    texts = stats.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return evaluated(texts, "Compare these parses of one paper by what each found.", client)
+
+
 def evaluated(texts: DataFrame, task: str, client: Client | None = None) -> DataFrame:
-    """LLM-10, LLM-11: (paper_id, score, grade, issues) of each text by a ``task`` in words; 50 and C where there is none."""
+    """LLM-10: (paper_id, score, grade, issues) of each text by a ``task`` in words; 50 and C where there is none."""
     ask = F.concat(F.lit(f"{task} Answer in JSON with score (0 to 100), grade (A to F) and issues.\n"), "text")
     found = _ask(texts.select("paper_id", ask.alias("prompt")), client).withColumn("x", F.from_json("answer", GRADE))
     return found.select("paper_id", F.coalesce("x.score", F.lit(50.0)).alias("score"), F.coalesce("x.grade", F.lit("C")).alias("grade"), F.coalesce("x.issues", F.array().cast("array<string>")).alias("issues"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .messages import at_least
 
 HEADER = r"(?s)\\(section|subsection|subsubsection)(?:\*?)?\{(.*?)\}(?:\s*\\label\{(.*?)\})?"
 
@@ -16,6 +17,20 @@ def body_of(tex: Column) -> Column:
     return F.regexp_extract(tex, r"(?s)\\begin\{document\}(.*?)\\end\{document\}", 1)
 
 
+def document_body(papers: DataFrame) -> DataFrame:
+    """EXT-9: (paper_id, body, whole): the body, or the whole text where there is no document environment."""
+    found = F.col("tex").rlike(r"(?s)\\begin\{document\}.*?\\end\{document\}")
+    return papers.select("paper_id", F.when(found, body_of(F.col("tex"))).otherwise(F.col("tex")).alias("body"), (~found).alias("whole"))
+
+
+def body_metadata(papers: DataFrame) -> DataFrame:
+    """EXT-10: (paper_id, title, authors, abstract) of the body, cleaned of comments and white space only."""
+    body = body_of(F.col("tex"))
+    first = lambda p: T.clean_light(F.regexp_extract(body, p, 1))
+    authors = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)\\author\{(.*?)\}"), F.lit(1)), T.clean_light)
+    return papers.select("paper_id", first(r"(?s)\\title\{(.*?)\}").alias("title"), authors.alias("authors"), first(r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}").alias("abstract"))
+
+
 def packages(papers: DataFrame) -> DataFrame:
     """EXT-7: packages and options of the preamble, in order."""
     p = r"\\usepackage(?:\[(.*?)\])?\{(.*?)\}"
@@ -27,29 +42,29 @@ def packages(papers: DataFrame) -> DataFrame:
 def section_tree(papers: DataFrame) -> DataFrame:
     """EXT-11, EXT-12: (paper_id, section_id, parent_id, level, type, title, label, raw_content).
 
-    The body is split at its headers; piece k belongs to header k. A section's own content is its piece, and those of
-    deeper headers up to its first direct child or the next header of its level or above. One window over the headers of
-    a paper finds parents (the last earlier header of each lower level that no header of a lower level follows).
+    The body is split at its headers; piece k belongs to header k. A section's own content is its piece, and for a
+    section those of the headers two levels down that come before any other header. One window over the headers of a
+    paper finds parents and owners, and one group by owner puts the pieces together, all in the papers' partitions.
     """
     body = body_of(F.col("tex"))
     found = F.regexp_extract_all(body, F.lit(HEADER), F.lit(0))
     pieces = F.slice(F.split(body, HEADER), F.lit(2), F.size(found))
     rows = papers.select("paper_id", F.posexplode(F.arrays_zip(found.alias("h"), pieces.alias("p"))).alias("section_id", "x")).select("paper_id", "section_id", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
-    rows = rows.withColumn("type", F.regexp_extract("h", HEADER, 1)).withColumn("level", (F.length(F.col("type")) - F.length(F.lit("section"))) / 3 + 1)
-    rows = rows.withColumn("level", F.col("level").cast("int"))
+    rows = rows.withColumn("type", F.regexp_extract("h", HEADER, 1))
+    rows = rows.withColumn("level", F.when(F.col("type") == "section", 1).when(F.col("type") == "subsection", 2).otherwise(3))
     before = Window.partitionBy("paper_id").orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.max(F.when(F.col("level") == k, F.col("section_id"))).over(before) for k in (1, 2)}
     rows = rows.withColumns({f"last{k}": c for k, c in last.items()})
     parent = F.when(F.col("level") == 2, F.col("last1")).when(F.col("level") == 3, F.greatest("last1", "last2"))
-    # Of the pieces after the header, own are those of headers two levels down before any other.
-    after = Window.partitionBy("paper_id").orderBy("section_id").rowsBetween(1, Window.unboundedFollowing)
-    stop = F.min(F.when(F.col("level") <= 2, F.col("section_id"))).over(after)
-    rows = rows.withColumn("stop", F.when(F.col("level") == 1, F.coalesce(stop, F.lit(2**31 - 1))).otherwise(F.col("section_id") + 1))
-    tail = F.collect_list(F.struct("section_id", F.concat("h", "p").alias("t"))).over(after)
-    rows = rows.withColumn("tail", F.when(F.col("level") == 1, tail))
-    more = F.array_join(F.transform(F.filter("tail", lambda x: x["section_id"] < F.col("stop")), lambda x: x["t"]), "")
-    content = F.concat("p", F.coalesce(more, F.lit("")))
-    return rows.select("paper_id", "section_id", parent.alias("parent_id"), "level", "type", T.clean_light(F.regexp_extract("h", HEADER, 2)).alias("title"), F.regexp_extract("h", HEADER, 3).alias("label"), content.alias("raw_content"))
+    rows = rows.withColumn("parent_id", parent)
+    shared = (F.col("level") == 3) & (F.col("last1") > F.coalesce("last2", F.lit(-1)))
+    own = F.struct(F.col("section_id").alias("owner"), F.struct("parent_id", "level", "type", "h").alias("own"), F.col("p").alias("t"))
+    more = F.struct(F.col("last1").alias("owner"), F.lit(None).cast("struct<parent_id: int, level: int, type: string, h: string>").alias("own"), F.concat("h", "p").alias("t"))
+    parts = rows.select("paper_id", "section_id", F.inline(F.when(shared, F.array(own, more)).otherwise(F.array(own))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "t"))), lambda x: x["t"]), "")
+    whole = parts.groupBy("paper_id", "owner").agg(F.max("own").alias("own"), text.alias("raw_content"))
+    title, label = T.clean_light(F.regexp_extract("own.h", HEADER, 2)), F.regexp_extract("own.h", HEADER, 3)
+    return whole.select("paper_id", F.col("owner").alias("section_id"), "own.parent_id", "own.level", "own.type", title.alias("title"), label.alias("label"), "raw_content")
 
 
 def paragraphs(sections: DataFrame) -> DataFrame:
@@ -64,8 +79,10 @@ def original_counts(papers: DataFrame) -> DataFrame:
     """EXT-23: what a regex count of the source finds."""
     count = lambda p: F.regexp_count("tex", F.lit(p)).cast("long")
     env = lambda e: count(rf"\\begin\{{{e}\}}")
-    five = sum((env(e) for e in ("theorem", "definition", "lemma", "proposition", "corollary")), F.lit(0)).cast("long")
-    return papers.select("paper_id", count(r"\\section\{").alias("sections"), count(r"\\subsection\{").alias("subsections"), five.alias("theorems"), env("equation").alias("equations"), count(r"\\cite\{").alias("citations"))
+    kinds = {"definitions": env("definition"), "lemmas": env("lemma"), "propositions": env("proposition"), "corollaries": env("corollary")}
+    all_ = sum(kinds.values(), env("theorem")).cast("long")
+    sums = {"sections": count(r"\\section\{"), "subsections": count(r"\\subsection\{"), "theorems": all_, **kinds, "equations": env("equation"), "citations": count(r"\\cite\{")}
+    return papers.select("paper_id", *(c.alias(n) for n, c in sums.items()))
 
 
 def label_resolution(papers: DataFrame) -> DataFrame:
@@ -131,17 +148,56 @@ def merged_chunk_results(results: DataFrame) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(order)).where(~labelled | (F.col("_n") == 1)).drop("_n")
 
 
-def document_chunks(papers: DataFrame, max_chars: int = 8000, least: int = 1000) -> DataFrame:
-    """EXT-21: sections packed greedily into chunks, as a fold over the pieces of one text."""
-    pieces = F.split("tex", r"(?=\\section\{[^}]+\})")
-    start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("done"))
+#: Environments at whose edges an oversize chunk is cut, each spelled out (not every engine has back-references).
+CUT_ENVIRONMENTS = "(?s)" + "|".join(rf"\\begin\{{{e}\}}.*?\\end\{{{e}\}}" for e in P.CANDIDATE_ENVIRONMENTS)
+
+
+def _packed(pieces: Column, max_chars: int, least: int) -> Column:
+    """Pieces joined greedily: a chunk ends where it has over ``least`` characters and the next piece would make it over
+    ``max_chars``. The fold goes over lengths; texts are put together once."""
+    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+
+    def step(acc: Column, n: Column) -> Column:
+        ends = (acc["chars"] + n > max_chars) & (acc["chars"] > least)
+        starts = F.when(ends, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct(F.when(ends, n).otherwise(acc["chars"] + n).alias("chars"), (acc["at"] + 1).alias("at"), starts.alias("starts"))
+
+    def cut(p: Column) -> Column:
+        starts = F.aggregate(F.transform(p, F.length), start, step, lambda a: a["starts"])
+        chunk = lambda s: lambda a, k: F.array_join(F.slice(p, a + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - a), "")
+        return F.transform(F.array(starts), lambda s: F.filter(F.transform(s, chunk(s)), lambda c: c != ""))[0]
+
+    return F.transform(F.array(pieces), cut)[0]
+
+
+def document_chunks(papers: DataFrame, max_chars: int = 8000, least: int = 1000, least_split: int = 500) -> DataFrame:
+    """EXT-21, EXT-22: (paper_id, chunk_index, chunk): sections packed greedily; chunks over ``max_chars`` are cut at the
+    edges of environments and packed again. A chunk is over the limit only where it is at most ``least_split`` characters
+    and one piece, or one piece alone."""
+    sections = _packed(F.split("tex", r"(?=\\section\{[^}]+\})"), max_chars, least)
+
+    def again(chunk: Column) -> Column:
+        plain, envs = F.split(chunk, CUT_ENVIRONMENTS), F.regexp_extract_all(chunk, F.lit(CUT_ENVIRONMENTS), F.lit(0))
+        both = F.flatten(F.transform(F.arrays_zip(plain.alias("a"), envs.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit("")))))
+        return F.when(F.length(chunk) > max_chars, _packed(both, max_chars, least_split)).otherwise(F.array(chunk))
+
+    return papers.select("paper_id", F.posexplode(F.flatten(F.transform(sections, again))).alias("chunk_index", "chunk"))
+
+
+# Parts of a written review, by the headings between which they stand.
+REVIEW_PARTS = {
+    "overview": r"## 1[.\s]+Summary and Main Contributions(.*?)## 2",
+    "methods": r"## 2[.\s]+Analysis of Main Proof Methods(.*?)## 3",
+    "errors": r"## 3[.\s]+Specific Errors and Issues(.*?)## 4",
+    "citations": r"## 4[.\s]+Citation and Bibliography Issues(.*?)## 5",
+    "suggestions": r"## 5[.\s]+Suggestions for Improvement(.*?)\z",
+}
 
-    def step(acc: Column, x: Column) -> Column:
-        flush = (F.length(acc["cur"]) + F.length(x) > max_chars) & (F.length(acc["cur"]) > least)
-        return F.when(flush, F.struct(x.alias("cur"), F.concat(acc["done"], F.array(acc["cur"])).alias("done"))).otherwise(F.struct(F.concat(acc["cur"], x).alias("cur"), acc["done"].alias("done")))
 
-    packed = F.aggregate(pieces, start, step, lambda a: F.filter(F.concat(a["done"], F.array(a["cur"])), lambda c: c != ""))
-    return papers.select("paper_id", F.posexplode(packed).alias("chunk_index", "chunk"))
+def review_parts(reviews: DataFrame) -> DataFrame:
+    """EXT-26: (review_id, part, text): the parts of a review that are there, trimmed."""
+    row = lambda n, p: F.when(F.col("text").rlike("(?is)" + p), F.struct(F.lit(n).alias("part"), F.regexp_replace(F.regexp_extract("text", "(?is)" + p, 1), r"^\s+|\s+$", "").alias("text")))
+    return reviews.select("review_id", F.inline(F.array_compact(F.array(*(row(n, p) for n, p in REVIEW_PARTS.items())))))
 
 
 def _any(text: Column, alternatives: tuple[str, ...]) -> Column:
@@ -158,13 +214,13 @@ def review_features(reviews: DataFrame) -> DataFrame:
     return reviews.select("review_id", *(c.alias(n) for n, c in found.items()))
 
 
-def review_score(features: DataFrame) -> DataFrame:
-    """RQ-17: score, grade and acceptance (C or better)."""
+def review_score(features: DataFrame, min_grade: str = "C") -> DataFrame:
+    """RQ-17, FN-17: score, grade and acceptance (``min_grade`` or better)."""
     points = {name: p for name, _, _, p in P.REVIEW} | {"constructive": 5, "avoids_generic": 5}
     score = sum((F.col(n).cast("int") * p for n, p in points.items()), F.lit(0))
     f = features.select("review_id", score.alias("overall_score"))
     grade = F.when(F.col("overall_score") >= 85, "A").when(F.col("overall_score") >= 70, "B").when(F.col("overall_score") >= 55, "C").when(F.col("overall_score") >= 40, "D").otherwise("F")
-    return f.withColumn("grade", grade).withColumn("is_acceptable", F.col("overall_score") >= 55)
+    return f.withColumn("grade", grade).withColumn("is_acceptable", at_least(F.col("grade"), min_grade))
 
 
 def routed(inputs: DataFrame) -> DataFrame:

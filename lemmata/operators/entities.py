@@ -71,16 +71,49 @@ def cited_by(entities: DataFrame) -> DataFrame:
     return first.groupBy("paper_id", F.col("ref").alias("label")).agg(listed.alias("cited_by"))
 
 
-def text_entities(texts: DataFrame, kinds: tuple[str, ...] = P.THEOREM_LIKE) -> DataFrame:
-    """EXT-4, EXT-5: entities of plain text, by keyword and number, up to a blank line or a stop before a capital."""
+def text_titles(texts: DataFrame) -> DataFrame:
+    """EXT-4: (paper_id, title): the first line of a plain text, trimmed."""
+    return texts.select("paper_id", F.regexp_replace(F.substring_index("text", "\n", 1), r"^\s+|\s+$", "").alias("title"))
 
-    def of(k: str, o: int) -> Column:
-        pattern = rf"(?is)\b{k}\s+\d+(?:\.\d+)*[.:]?\s*(.*?)(?=\n\s*\n|\.\s(?-i:[A-Z])|$)"
-        row = lambda m, i: F.struct(F.lit(o).alias("type_ord"), F.lit(k).alias("type"), (i + 1).alias("idx"), F.trim(F.left(m, F.lit(500))).alias("content"))
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), row)
 
-    found = F.concat(*(of(k, o) for o, k in enumerate(kinds)))
-    return texts.select("paper_id", F.inline(found))
+def text_entities(texts: DataFrame, keywords: dict[str, tuple[str, ...]] = P.KEYWORDS) -> DataFrame:
+    """EXT-3f, EXT-5: (paper_id, type_ord, type, idx, name, content, pos): entities of plain text by their keywords.
+
+    The content goes from the keyword's match up to a blank line or a stop before a capital, and is at most 500
+    characters where neither comes. Contents may overlap, since only the keyword itself is consumed. Numbers run through
+    a type's keywords, one keyword after another.
+    """
+
+    def of(kind: str, order: int, pattern: str) -> Column:
+        head = rf"(?i:{pattern})"
+        whole = rf"{head}(?=(?s:(.*?))(\n\s*\n|\.\s+[A-Z]|\z))"
+        content, stop = (F.regexp_extract_all("text", F.lit(whole), F.lit(g)) for g in (1, 2))
+        rows = F.arrays_zip(content.alias("content"), stop.alias("stop"), T.starts_of(F.col("text"), head).alias("pos"))
+        cut = lambda m: F.regexp_replace(F.when(m["stop"] == "", F.left(m["content"], F.lit(500))).otherwise(m["content"]), r"^\s+|\s+$", "")
+        return F.transform(rows, lambda m: F.struct(F.lit(order).alias("type_ord"), F.lit(kind).alias("type"), cut(m).alias("content"), m["pos"].alias("pos")))
+
+    every = [F.transform(F.concat(*(of(k, o, p) for p in ps)), lambda x, i: x.withField("idx", i + 1)) for o, (k, ps) in enumerate(keywords.items())]
+    found = texts.select("paper_id", F.inline(F.concat(*every)))
+    return found.select("paper_id", "type_ord", "type", "idx", F.concat_ws(" ", F.initcap("type"), F.col("idx").cast("string")).alias("name"), "content", "pos")
+
+
+def entity_positions(papers: DataFrame, patterns: dict[str, str] = P.ENTITY_PATTERNS) -> DataFrame:
+    """EXT-3f: (paper_id, type, idx, pos): where each entity's environment begins, in characters."""
+    return papers.select("paper_id", F.inline(F.concat(*(_placed(k, p) for k, p in patterns.items()))))
+
+
+def _placed(kind: str, pattern: str) -> Column:
+    return F.transform(T.starts_of(F.col("tex"), pattern), lambda at, i: F.struct(F.lit(kind).alias("type"), (i + 1).alias("idx"), at.alias("pos")))
+
+
+def implied_dependencies(entities: DataFrame) -> DataFrame:
+    """REL-2: (paper_id, type, idx, ref): labels of other entities whose name stands in an entity's content, letter case
+    aside. The names of a paper meet each entity as one array, in one row; pairs that don't match are never rows."""
+    named = entities.where("label IS NOT NULL").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("type_ord", "idx", F.lower("name").alias("name"), "label"))).alias("names"))
+    joined = entities.join(named, "paper_id")
+    text = F.lower("content")
+    other = lambda x: ((x["type_ord"] != F.col("type_ord")) | (x["idx"] != F.col("idx"))) & F.contains(text, x["name"])
+    return joined.select("paper_id", "type", "idx", F.explode(F.filter("names", other)).alias("x")).select("paper_id", "type", "idx", F.col("x.label").alias("ref"))
 
 
 def last_by_key(entities: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .documents import body_of, original_counts
+from .documents import original_counts
 
 PROOF = r"(?s)\\begin\{proof\}(.*?)\\end\{proof\}"
 FIRST_PROOF = r"(?s)^(.*?)\\begin\{proof\}.*?\\end\{proof\}(.*)$"
@@ -49,22 +49,6 @@ def section_elements(sections: DataFrame, patterns: dict[str, str] = P.SECTION_P
     )
 
 
-def reconstructed(papers: DataFrame, sections: DataFrame, elements: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """SNK-9: (paper_id, latex): head, sections in order, each with its elements and paragraphs."""
-    labelled = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit("\\label{"), "label", F.lit("}"))).otherwise("")
-    name = F.when(F.col("name") != "", F.concat(F.lit("["), "name", F.lit("]"))).otherwise("")
-    env = F.regexp_replace("type", "_star$", "*")
-    proof = F.when(F.col("proof").isNotNull(), F.concat(F.lit("\n\\begin{proof}"), "proof", F.lit("\\end{proof}"))).otherwise("")
-    element = F.concat(F.lit("\\begin{"), env, F.lit("}"), name, F.lit("\n"), labelled, F.lit("\n"), F.regexp_replace("content", P.LABEL, ""), F.lit("\n\\end{"), env, F.lit("}"), proof)
-    rows = sections.select("paper_id", "section_id", F.lit(-1).alias("kind"), F.lit(0).alias("pos"), F.concat(F.lit("\\"), "type", F.lit("{"), "title", F.lit("}"), labelled).alias("text"))
-    rows = rows.unionAll(elements.select("paper_id", "section_id", "type_ord", "pos", element)).unionAll(paragraphs.select("paper_id", "section_id", F.lit(99), "pos", "text"))
-    body = rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "kind", "pos", "text"))), lambda x: x["text"]), "\n\n").alias("_body"))
-    head = F.regexp_extract("tex", r"(?s)^(.*?)\\begin\{document\}", 1)
-    front = F.array_join(F.regexp_extract_all(body_of(F.col("tex")), F.lit(r"(?s)\\(?:title|author)\{[^}]*\}|\\begin\{abstract\}.*?\\end\{abstract\}"), F.lit(0)), "\n")
-    out = papers.join(body, "paper_id", "left")
-    return out.select("paper_id", F.concat(head, F.lit("\\begin{document}\n"), front, F.lit("\n"), F.coalesce("_body", F.lit("")), F.lit("\n\\end{document}\n")).alias("latex"))
-
-
 @F.pandas_udf(DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """FN-12: ratio of matching blocks; there is no built-in expression for it."""
@@ -90,22 +74,39 @@ def tree_coverage(papers: DataFrame, sections: DataFrame, elements: DataFrame) -
     )
 
 
-def tree_quality(papers: DataFrame, coverage: DataFrame, latex: DataFrame) -> DataFrame:
-    """TQ-5..TQ-8: ``coverage`` with similarity, kept formulas, score, grade and whether the source can be rebuilt.
+def tree_quality(papers: DataFrame, coverage: DataFrame, latex: DataFrame, elements: DataFrame | None = None, orphans: DataFrame | None = None, bibliography: DataFrame | None = None) -> DataFrame:
+    """TQ-5..TQ-8: ``coverage`` with citations, similarity, kept formulas, integrity, score, grade and whether the source
+    can be rebuilt. Without ``orphans`` there are none; without ``bibliography`` no citation is covered.
 
-    No bibliography is read, so no citation is covered; elements come from the tree, so none is an orphan.
+    A statement of an element is complete where its spans are ten or more; elements have one span each, so wherever there
+    is a theorem, proposition, lemma or corollary, statements count as incomplete (the score doesn't).
     """
     math = lambda c: F.array_union(F.regexp_extract_all(c, F.lit(r"(?s)\\\[(.*?)\\\]"), F.lit(0)), F.regexp_extract_all(c, F.lit(r"\$([^$\n]+)\$"), F.lit(0)))
+    per_paper = lambda rows, name: rows.groupBy("paper_id").agg(F.count("*").alias(name))
+    cites = F.regexp_count("tex", F.lit(r"\\cite\{"))
     q = papers.join(latex, "paper_id").join(coverage, "paper_id")
+    absent = F.lit(0).cast("long")
+    for rows, name in ((bibliography, "_entries"), (orphans, "_orphans"), (None if elements is None else elements.where(F.col("type").isin("theorem", "proposition", "lemma", "corollary")), "_statements")):
+        q = q.withColumn(name, absent) if rows is None else q.join(per_paper(rows, name), "paper_id", "left").withColumn(name, F.coalesce(name, absent))
+    q = q.withColumn("citation_coverage", F.when(cites > 0, F.col("_entries") / cites).otherwise(0.0))
     q = q.withColumn("similarity", sequence_similarity(T.normalized(F.col("tex")), T.normalized(F.col("latex"))))
     kept = F.size(F.array_intersect(math("tex"), math("latex"))) >= 0.8 * F.size(math("tex"))
-    q = q.withColumn("math_preserved", kept)
+    q = q.withColumns({"math_preserved": kept, "theorems_complete": F.col("_statements") == 0, "no_orphans": F.col("_orphans") == 0, "no_dangling": F.col("label_resolution") >= 0.9})
     yes = lambda c, n: F.when(c, n).otherwise(0)
-    score = F.col("section_coverage") * 10 + F.col("element_coverage") * 15 + F.col("equation_coverage") * 10 + F.col("label_resolution") * 15 + yes(F.col("hierarchy_ok"), 14)
-    score = score + F.col("similarity") * 20 + yes(F.col("math_preserved"), 5) + 3 + yes(F.col("label_resolution") >= 0.9, 3)
-    rebuilt = (F.col("similarity") >= 0.7) & (F.col("element_coverage") >= 0.7)
+    score = F.col("section_coverage") * 10 + F.col("element_coverage") * 15 + F.col("equation_coverage") * 10 + F.col("citation_coverage") * 5 + F.col("label_resolution") * 15 + yes(F.col("hierarchy_ok"), 10)
+    score = score + F.col("similarity") * 20 + yes(F.col("math_preserved"), 5) + yes(F.col("no_orphans"), 3) + yes(F.col("no_dangling"), 3) + yes(F.col("hierarchy_ok"), 4)
+    rebuilt = (F.col("similarity") >= 0.7) & F.col("no_orphans") & (F.col("element_coverage") >= 0.7)
     grade = F.when(rebuilt & (score >= 85), "A").when(rebuilt & (score >= 70), "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
-    return q.select(*coverage.columns, "similarity", "math_preserved", F.floor(score).cast("int").alias("overall_score"), rebuilt.alias("can_reconstruct"), grade.alias("grade"))
+    flags = ("math_preserved", "theorems_complete", "no_orphans", "no_dangling")
+    return q.select(*coverage.columns, "citation_coverage", "similarity", *flags, F.floor(score).cast("int").alias("overall_score"), rebuilt.alias("can_reconstruct"), grade.alias("grade"))
+
+
+def unresolved_references(papers: DataFrame, labels: DataFrame) -> DataFrame:
+    """TQ-3: (paper_id, refs): references of the source that the tree has no label for, sorted; papers without any have
+    no row."""
+    refs = papers.select("paper_id", F.explode(F.array_distinct(F.regexp_extract_all("tex", F.lit(r"\\(?:ref|eqref)\{([^}]+)\}"), F.lit(1)))).alias("label"))
+    missing = refs.join(labels.select("paper_id", "label"), ["paper_id", "label"], "left_anti")
+    return missing.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("refs"))
 
 
 def problem_areas(papers: DataFrame, reach: int = 500) -> DataFrame:

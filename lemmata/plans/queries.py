@@ -11,6 +11,7 @@ from ..operators import assisted as A
 from ..operators import documents as D
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import rebuild as B
 from ..operators import reports
 from ..operators import tree as R
 from .corpus import PAPERS_SQL, papers
@@ -61,7 +62,7 @@ def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir)
     s = D.section_tree(p)
     e = R.section_elements(s)
-    tree = R.tree_quality(p, R.tree_coverage(p, s, e), R.reconstructed(p, s, e, D.paragraphs(s)))
+    tree = R.tree_quality(p, R.tree_coverage(p, s, e), B.reconstructed(p, s), e, B.orphans(e, s))
     offline = A.reviews(A.review_prompts(p, E.latex_entities(p))).withColumnRenamed("paper_id", "review_id")
     return A.pipeline_status(tree, D.review_score(D.review_features(offline)).withColumnRenamed("review_id", "paper_id"))
 
@@ -110,7 +111,6 @@ QUERIES = {
     "section_elements": _papers(lambda p: R.section_elements(D.section_tree(p)).drop("type_ord", "pos")),
     "tree_coverage": _papers(lambda p: R.tree_coverage(p, s := D.section_tree(p), R.section_elements(s))),
     "problem_areas": _papers(lambda p: R.first_areas(D.merged_intervals(R.problem_areas(p.withColumn("tex", F.expr(MISMATCHED)))))),
-    "latex_reconstruction": _papers(lambda p: R.reconstructed(p, s := D.section_tree(p), R.section_elements(s), D.paragraphs(s)).select("paper_id", F.length("latex").alias("chars"))),
     "original_counts": _papers(D.original_counts),
     "label_resolution": _papers(D.label_resolution),
     "math_sets": _papers(D.math_sets),
@@ -118,8 +118,6 @@ QUERIES = {
     "candidate_stats": _papers(lambda p: D.candidate_stats(D.regex_candidates(p))),
     "merge_intervals": lambda spark, sf_dir: D.merged_intervals(_intervals(spark, sf_dir)),
     "merge_chunk_results": lambda spark, sf_dir: D.merged_chunk_results(_chunk_results(spark, sf_dir)),
-    "document_chunks": _papers(lambda p: D.document_chunks(p, 800, 100).select("paper_id", "chunk_index", F.length("chunk").alias("chars"))),
-    "text_entities": lambda spark, sf_dir: E.text_entities(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.expr(NUMBERED).alias("text"))).drop("type_ord"),
     "clean_strong": lambda spark, sf_dir: _table(spark, sf_dir, "documents").select("doc_id", T.clean_strong(F.col("text")).alias("text")),
     "clean_light": lambda spark, sf_dir: _table(spark, sf_dir, "documents").select("doc_id", T.clean_light(F.col("text")).alias("text")),
     "review_features": lambda spark, sf_dir: D.review_features(reviews(spark, sf_dir)),
@@ -237,7 +235,9 @@ FROM o LEFT JOIN ns USING (paper_id) LEFT JOIN ne USING (paper_id) LEFT JOIN nl
     "preamble_packages": rf"WITH {PAPERS_SQL}, p AS (SELECT paper_id, regexp_extract_all(regexp_extract(tex, '(?s)^(.*?)\\begin\{{document\}}', 1), '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}') AS m FROM papers), u AS (SELECT paper_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS m FROM p) SELECT paper_id, pos, regexp_extract(m, '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}', 2) AS name, coalesce(regexp_extract(m, '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}', 1), '') AS options FROM u",
     "section_tree": f"WITH {_TREE} SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, CAST(parent_id AS INTEGER) AS parent_id, level, type, title, label, CAST(length(p) + length(more) AS INTEGER) AS content_length FROM sections",
     "section_paragraphs": rf"""WITH {_TREE}, q AS (SELECT paper_id, section_id, list_filter(list_transform(string_split(regexp_replace(p || more, '(?s)\\begin\{{.*?\}}.*?\\end\{{.*?\}}', '', 'g'), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '\')) AS ps FROM sections) SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS pos, unnest(ps) AS text FROM q""",
-    "original_counts": rf"WITH {PAPERS_SQL} SELECT paper_id, {_COUNT(r'\\section\{')} AS sections, {_COUNT(r'\\subsection\{')} AS subsections, {' + '.join(_COUNT(rf'\\begin\{{{e}\}}') for e in ('theorem', 'definition', 'lemma', 'proposition', 'corollary'))} AS theorems, {_COUNT(r'\\begin\{equation\}')} AS equations, {_COUNT(r'\\cite\{')} AS citations FROM papers",
+    "original_counts": rf"WITH {PAPERS_SQL} SELECT paper_id, {_COUNT(r'\\section\{')} AS sections, {_COUNT(r'\\subsection\{')} AS subsections, "
+    rf"{' + '.join(_COUNT(rf'\\begin\{{{e}\}}') for e in P.CANDIDATE_ENVIRONMENTS)} AS theorems, {', '.join(_COUNT(rf'\\begin\{{{e}\}}') + f' AS {P.CATEGORIES[e]}' for e in ('definition', 'lemma', 'proposition', 'corollary'))}, "
+    rf"{_COUNT(r'\\begin\{equation\}')} AS equations, {_COUNT(r'\\cite\{')} AS citations FROM papers",
     "label_resolution": rf"WITH {PAPERS_SQL}, x AS (SELECT paper_id, list_distinct(regexp_extract_all(tex, '\\(?:ref|eqref)\{{([^}}]+)\}}', 1)) AS r, list_distinct(regexp_extract_all(tex, '\\label\{{([^}}]+)\}}', 1)) AS l FROM papers) SELECT paper_id, len(r) AS total, len(list_intersect(r, l)) AS resolved, coalesce(list_aggregate(list_sort(list_filter(r, lambda y: NOT list_contains(l, y))), 'string_agg', ','), '') AS unresolved, CASE WHEN len(r) > 0 THEN len(list_intersect(r, l))::DOUBLE / len(r) ELSE 0 END AS rate FROM x",
     "math_sets": rf"WITH {PAPERS_SQL}, x AS (SELECT paper_id, list_distinct(regexp_extract_all(tex, '(?s)\\\[(.*?)\\\]')) AS d, list_distinct(regexp_extract_all(tex, '\$([^$\n]+)\$')) AS i FROM papers) SELECT paper_id, len(d) AS display, len(i) AS inline, len(list_distinct(list_concat(d, i))) AS formulas FROM x",
     "regex_candidates": f"WITH {_CANDIDATES} SELECT * FROM candidates",

@@ -1,19 +1,22 @@
 import pytest
 from oracle import same
 
-from lemmata.plans import queries as plans
+from lemmata.plans import more, queries as plans
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+QUERIES, SQL = plans.QUERIES | more.QUERIES, plans.SQL | more.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_is_its_sql(spark, name):
-    same(spark, plans.QUERIES[name], plans.SQL[name], SF)
+    same(spark, QUERIES[name], SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_has_rows(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
