@@ -165,14 +165,40 @@ def _packed(name: str, pieces: str, key: str, most: int, least: int) -> str:
 
 
 _SECTION = r"\\section\{[^}]+\}"
-_CHUNKED = rf"""WITH RECURSIVE {PAPERS_SQL}, cutup AS (SELECT paper_id, regexp_extract_all(tex, '{_SECTION}') AS h, regexp_split_to_array(tex, '{_SECTION}') AS s FROM papers),
+
+
+def _chunked(source: str, most: int, least: int, least_split: int) -> str:
+    """CTEs up to ``chunks`` (paper_id, c1, c2, text) of a table of (paper_id, tex)."""
+    return rf"""cutup AS (SELECT paper_id, regexp_extract_all(tex, '{_SECTION}') AS h, regexp_split_to_array(tex, '{_SECTION}') AS s FROM {source}),
 pieces AS (SELECT paper_id, unnest(range(len(s))) AS i, CASE WHEN unnest(range(len(s))) = 0 THEN '' ELSE h[unnest(range(len(s)))] END || s[unnest(range(len(s))) + 1] AS piece FROM cutup),
-{_packed('first', 'pieces', 'paper_id', CHUNKS[0], CHUNKS[1])},
-again AS (SELECT paper_id, chunk AS c1, regexp_extract_all(text, '{D.CUT_ENVIRONMENTS}') AS h, regexp_split_to_array(text, '{D.CUT_ENVIRONMENTS}') AS s FROM first WHERE length(text) > {CHUNKS[0]}),
+{_packed('first', 'pieces', 'paper_id', most, least)},
+again AS (SELECT paper_id, chunk AS c1, regexp_extract_all(text, '{D.CUT_ENVIRONMENTS}') AS h, regexp_split_to_array(text, '{D.CUT_ENVIRONMENTS}') AS s FROM first WHERE length(text) > {most}),
 parts AS (SELECT paper_id, c1, unnest(range(len(s) + len(h))) AS i, CASE WHEN unnest(range(len(s) + len(h))) % 2 = 0 THEN s[unnest(range(len(s) + len(h))) // 2 + 1] ELSE h[unnest(range(len(s) + len(h))) // 2 + 1] END AS piece FROM again),
-{_packed('second', 'parts', 'paper_id, c1', CHUNKS[0], CHUNKS[2])},
-every AS (SELECT paper_id, chunk AS c1, 0 AS c2, text FROM first WHERE length(text) <= {CHUNKS[0]} UNION ALL SELECT paper_id, c1, chunk, text FROM second)
-SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY c1, c2) - 1 AS INTEGER) AS chunk_index, text AS chunk FROM every"""
+{_packed('second', 'parts', 'paper_id, c1', most, least_split)},
+chunks AS (SELECT paper_id, chunk AS c1, 0 AS c2, text FROM first WHERE length(text) <= {most} UNION ALL SELECT paper_id, c1, chunk, text FROM second)"""
+
+
+_CHUNKED = f"""WITH RECURSIVE {PAPERS_SQL}, {_chunked('papers', *CHUNKS)}
+SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY c1, c2) - 1 AS INTEGER) AS chunk_index, text AS chunk FROM chunks"""
+_FOUND = r"\\(begin|end)\{([^}]+)\}"
+_AREAS = rf"""WITH RECURSIVE {PAPERS_SQL}, m AS (SELECT paper_id, replace(tex, '\end{{lemma}}', '\end{{theorem}}') AS tex FROM papers),
+k AS (SELECT paper_id, length(tex) AS n, regexp_extract_all(tex, '{_FOUND}') AS t, regexp_split_to_array(tex, '{_FOUND}') AS s FROM m), k2 AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM k),
+tokens AS (SELECT paper_id, i, regexp_extract(t[i], '{_FOUND}', 1) = 'begin' AS begins, regexp_extract(t[i], '{_FOUND}', 2) AS name, CAST(list_sum(list_transform(s[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM k2),
+f AS (SELECT paper_id, n, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS open, false AS bad, CAST(0 AS BIGINT) AS start FROM k
+ UNION ALL SELECT f.paper_id, f.n, x.i, CASE WHEN x.begins THEN list_append(f.open, x.name) WHEN f.open[-1] = x.name THEN f.open[:len(f.open) - 1] ELSE f.open END, NOT x.begins AND coalesce(f.open[-1] <> x.name, true), x.start FROM f JOIN tokens x ON x.paper_id = f.paper_id AND x.i = f.i + 1),
+areas AS (SELECT paper_id, greatest(start - 500, 0) AS a, least(start + 500, n) AS b FROM f WHERE bad),
+reach AS (SELECT *, max(b) OVER (PARTITION BY paper_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM areas),
+islands AS (SELECT *, sum(CASE WHEN a <= r THEN 0 ELSE 1 END) OVER (PARTITION BY paper_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM reach),
+whole AS (SELECT paper_id, min(a) AS a, max(b) AS b FROM islands GROUP BY paper_id, island)
+SELECT paper_id, CAST(a AS INTEGER) AS "start", CAST(b AS INTEGER) AS "end" FROM whole QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY a, b) <= 5"""
+_ENTRY = """'### ' || name || chr(10) || CASE WHEN label IS NOT NULL THEN '*Label: `' || label || '`*' || chr(10) ELSE '' END || CASE WHEN len(refs) > 0 THEN '*Depends on: ' || list_aggregate(refs, 'string_agg', ', ') || '*' || chr(10) ELSE '' END
+ || chr(10) || left(CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END, 300) || '...' || chr(10) || chr(10)"""
+_MARKDOWN = f"""WITH meta AS ({q.SQL['paper_metadata']}), counts AS ({q.SQL['category_statistics']}), listed AS (WITH {q.ENTITIES_SQL} SELECT paper_id, type, string_agg({_ENTRY}, '' ORDER BY idx) AS t FROM entities GROUP BY 1, 2),
+kinds AS (SELECT paper_id, {' || '.join(f"coalesce(max(CASE WHEN type = '{k}' THEN '## {k.capitalize()}s' || chr(10) || chr(10) || t END), '')" for k in P.CATEGORIES)} AS t FROM listed GROUP BY 1)
+SELECT meta.paper_id, '# ' || title || chr(10) || chr(10) || CASE WHEN authors <> '' THEN '**Authors:** ' || replace(authors, '; ', ', ') || chr(10) || chr(10) ELSE '' END
+ || CASE WHEN abstract <> '' THEN '## Abstract' || chr(10) || chr(10) || abstract || chr(10) || chr(10) ELSE '' END || '## Statistics' || chr(10) || chr(10)
+ || {' || '.join(f"'- **{c.capitalize()}:** ' || coalesce({c}, 0) || chr(10)" for c in P.CATEGORIES.values())} || chr(10) || '**Total entities:** ' || coalesce(total, 0) || chr(10) || chr(10) || coalesce(kinds.t, '') AS markdown
+FROM meta LEFT JOIN counts USING (paper_id) LEFT JOIN kinds USING (paper_id)"""
 _WINDOWS = " UNION ALL ".join(
     rf"SELECT paper_id, text, '{k}' AS type, {j} AS j, regexp_split_to_array(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS seps FROM t" for k, ps in P.KEYWORDS.items() for j, p in enumerate(ps)
 )
@@ -216,6 +242,9 @@ SELECT paper_id, string_agg(label, ', ' ORDER BY label) AS refs FROM refs WHERE
     "document_body": rf"WITH {PAPERS_SQL}, t AS (SELECT paper_id, {BARE} AS tex FROM papers), f AS (SELECT *, regexp_matches(tex, '(?s)\\begin\{{document\}}.*?\\end\{{document\}}') AS found FROM t) SELECT paper_id, CASE WHEN found THEN {_BODY} ELSE tex END AS body, NOT found AS whole FROM f",
     "body_metadata": f"WITH {PAPERS_SQL}, b AS (SELECT paper_id, {_BODY} AS body FROM papers) SELECT paper_id, {_TITLE} AS title, list_aggregate({_AUTHORS}, 'string_agg', '; ') AS authors, {_ABSTRACT} AS abstract FROM b",
     "document_chunks": _CHUNKED,
+    "problem_areas": _AREAS,
+    "analysis_markdown": _MARKDOWN,
+    "chunk_totals": f"WITH RECURSIVE {PAPERS_SQL}, bodies AS (SELECT paper_id, {_BODY} AS tex FROM papers), {_chunked('bodies', 8000, 1000, 500)} SELECT paper_id, count(*) AS chunks, {', '.join(f'CAST(0 AS BIGINT) AS {k}' for k in A.CHUNK)} FROM chunks GROUP BY paper_id",
     "text_titles": r"SELECT doc_id AS paper_id, regexp_replace(string_split(text, chr(10))[1], '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS title FROM documents",
     "text_entities": _TEXT_ENTITIES,
     "entity_positions": f"""WITH {PAPERS_SQL}, w AS ({_PLACES}), k AS (SELECT *, unnest(range(1, len(seps) + 1)) AS k FROM w)
