@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset and Spark runs in one process (tests), one of its warehouse; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -51,11 +61,38 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def enclosed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``docs`` in one, ``row``, beside ``more``: none of the caller's names can meet one of ours."""
+    return docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), *more)
+
+
+def released(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, by their names and in their order, some of them changed."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two non-null longs that tell documents apart: rows that agree in id and text are one document."""
     return [F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
 
 
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
+    """One text after another, so that never all of a batch are held twice."""
+    return (x.as_py() for x in batch.column(column))
+
+
+def opened(shared: Broadcast):
+    """A broadcast's value, of which the broadcast itself keeps nothing: the next one takes its room."""
+    value = shared.value
+    vars(shared).pop("_value", None)
+    return value
+
+
 def rounds(total: int, limit: int) -> int:
     """How many parts of at most about ``limit`` a whole of ``total`` makes; at least one."""
     return max(1, -(-int(total) // limit))

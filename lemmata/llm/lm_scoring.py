@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import END, WordHashes, checkpoint, mix, rounds, row_key, signed, table, words_lower
+from .common import END, WordHashes, checkpoint, mix, opened, rounds, row_key, table, texts_of, words_lower
 
 #: Prior weight of the word distribution against a history's own counts. Held-out log10 probability a token of 10,000
 #: documents: -4.16 at 4, -3.87 at 64, -3.824 at 256, -3.820 at 512, -3.827 at 1,000 (-4.19 by words alone); of the flat
@@ -74,8 +74,8 @@ def groups_of(batches: Iterator[pa.RecordBatch], hashes: WordHashes, limit: int
     end token, and where each text starts."""
     for batch in batches:
         first, parts, starts, at = 0, [], [], 0
-        for i, text in enumerate(batch.column("text")):
-            words = hashes.of(words_lower(text.as_py()))
+        for i, text in enumerate(texts_of(batch)):
+            words = hashes.of(words_lower(text))
             starts.append(at)
             at += len(words) + 1
             parts += [words, STOP]
@@ -350,13 +350,6 @@ def part_of(blocks: DataFrame, grid: Grid, span: tuple[int, int, int], total: in
     return Part(grid, first, last, owned, offset, size, joined("filter", np.uint64), words[order], counts[order], total, distinct)
 
 
-def opened(shared) -> Part:
-    """A broadcast's value, of which the broadcast itself keeps nothing: the next part takes its room."""
-    value = shared.value
-    vars(shared).pop("_value", None)
-    return value
-
-
 def score_documents(docs: DataFrame, held_out: Column, mu: float = MU, part_bytes: int = PART_BYTES, pass_bytes: int = PASS_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) with a model of the rows for which ``held_out`` isn't true.
 
