@@ -12,6 +12,7 @@ from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import messages as M
 from ..operators import rebuild as B
+from ..operators import reports
 from ..operators import tree as R
 from . import queries as q
 from .corpus import PAPERS_SQL, papers
@@ -73,6 +74,8 @@ QUERIES = {
     "graph_recommendation_texts": _graph_quality(lambda g: M.recommendation_texts(G.recommendations(g))),
     "graph_summaries": _graph_quality(M.graph_summary),
     "graph_layout": q._on_graph(lambda n, e: G.layout(n)),
+    "graph_files": q._entities(G.graph_files),
+    "loaded_elements": _tree(lambda p, s, e: reports.loaded_trees(reports.tree_json(s, e))[1].drop("type_ord", "pos")),
     "tree_issues": _tree(lambda p, s, e: M.tree_issues(R.tree_coverage(p, s, e))),
     "unresolved_references": _tree(lambda p, s, e: R.unresolved_references(p, B.label_map(s, e))),
     "label_map": _tree(lambda p, s, e: B.label_map(s, e)),
@@ -199,6 +202,16 @@ SELECT meta.paper_id, '# ' || title || chr(10) || chr(10) || CASE WHEN authors <
  || CASE WHEN abstract <> '' THEN '## Abstract' || chr(10) || chr(10) || abstract || chr(10) || chr(10) ELSE '' END || '## Statistics' || chr(10) || chr(10)
  || {' || '.join(f"'- **{c.capitalize()}:** ' || coalesce({c}, 0) || chr(10)" for c in P.CATEGORIES.values())} || chr(10) || '**Total entities:** ' || coalesce(total, 0) || chr(10) || chr(10) || coalesce(kinds.t, '') AS markdown
 FROM meta LEFT JOIN counts USING (paper_id) LEFT JOIN kinds USING (paper_id)"""
+_CLASSES = " || chr(10) || ".join(_quoted(f"    classDef {t} fill:{c},stroke:#333,stroke-width:2px,color:#fff;") for t, c in P.COLORS.items())
+_FILES = f"""WITH {q._GRAPH}, firsts AS (SELECT paper_id, node_id, min(type_ord::BIGINT * 1000000 + idx) AS first FROM entities GROUP BY 1, 2),
+spots AS (SELECT paper_id, node_id AS src, ref AS dst, min((type_ord::BIGINT * 1000000 + idx) * 100000 + pos) AS spot FROM deps GROUP BY 1, 2, 3),
+written AS (SELECT n.paper_id, 0 AS kind, first, 0 AS spot, '  "' || replace(node_id, '"', '\\"') || '" [label="' || replace(replace(name, '"', '\\"'), chr(10), ' ') || '", fillcolor="' || {q._COLOR} || '", style="filled,rounded"];' AS dot,
+  '    ' || {q._SAFE('node_id')} || '["' || replace(replace(replace(replace(name, '[', '&#91;'), ']', '&#93;'), '(', '&#40;'), ')', '&#41;') || '"]'
+  || CASE WHEN type IN ({', '.join(f"'{t}'" for t in P.COLORS)}) THEN chr(10) || '    class ' || {q._SAFE('node_id')} || ' ' || type || ';' ELSE '' END AS flow FROM nodes n JOIN firsts USING (paper_id, node_id)
+ UNION ALL SELECT e.paper_id, 1, first, spots.spot, '  "' || replace(e.src, '"', '\\"') || '" -> "' || replace(e.dst, '"', '\\"') || '";', '    ' || {q._SAFE('e.src')} || ' --> ' || {q._SAFE('e.dst')}
+ FROM edges e JOIN spots ON spots.paper_id = e.paper_id AND spots.src = e.src AND spots.dst = e.dst JOIN firsts ON firsts.paper_id = e.paper_id AND firsts.node_id = e.src)
+SELECT paper_id, 'digraph MathDependencies {{' || chr(10) || '  rankdir=TB;' || chr(10) || '  node [shape=box, style=rounded, fontname="Arial"];' || chr(10) || string_agg(dot, chr(10) ORDER BY kind, first, spot) || chr(10) || '}}' AS dot,
+ '```mermaid' || chr(10) || 'flowchart TD' || chr(10) || {_CLASSES} || chr(10) || string_agg(flow, chr(10) ORDER BY kind, first, spot) || chr(10) || '```' AS mermaid FROM written GROUP BY paper_id"""
 _WINDOWS = " UNION ALL ".join(
     rf"SELECT paper_id, text, '{k}' AS type, {j} AS j, regexp_split_to_array(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS seps FROM t" for k, ps in P.KEYWORDS.items() for j, p in enumerate(ps)
 )
@@ -230,6 +243,8 @@ SELECT paper_id, 'Graph score: ' || printf('%.2f', (o // 100 + CASE WHEN o % 100
  || 'Nodes: ' || n || ', edges: ' || m || ', density: ' || printf('%.4f', round_even(density, 4)) AS summary FROM quality JOIN told USING (paper_id)""",
     "graph_layout": f"""WITH {q._GRAPH}, a AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY paper_id ORDER BY node_id) - 1) / count(*) OVER (PARTITION BY paper_id) AS angle FROM nodes)
 SELECT paper_id, node_id, CASE WHEN length(name) > 30 THEN left(name, 27) || '...' ELSE name END AS label, {q._COLOR} AS color, round(cos(angle), 6) + 0.0::DOUBLE AS x, round(sin(angle), 6) + 0.0::DOUBLE AS y FROM a""",
+    "graph_files": _FILES,
+    "loaded_elements": q.SQL["section_elements"],
     "tree_issues": f"WITH c AS ({q.SQL['tree_coverage']}) " + " UNION ALL ".join(f"SELECT paper_id, {i} AS pos, '{name} coverage low: ' || {_percent(c)} AS issue FROM c WHERE {c} < {least}" for i, (c, least, name) in enumerate(M.TREE_ISSUES)),
     "unresolved_references": rf"""WITH {_LABELLED}, refs AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(tex, '\\(?:ref|eqref)\{{([^}}]+)\}}', 1)) AS label FROM papers)
 SELECT paper_id, string_agg(label, ', ' ORDER BY label) AS refs FROM refs WHERE (paper_id, label) NOT IN (SELECT paper_id, label FROM label_map) GROUP BY paper_id""",
