@@ -6,8 +6,11 @@ no source is above. In order of size by weight, the sources at their limit are a
 finds it. A document is emitted floor(target / size of its source) times, and once more when a hash of its id falls
 below the fraction; the hash makes reruns agree.
 
-Nulls: a null source is a source of its own; a null text has size 0. Rows of the same id draw the same number. A source
-of no words has the target 0 and its documents are not emitted.
+The plan's windows run in one task over one row for each source; the documents' own sums are partial aggregates.
+
+Nulls: a null source is a source of its own; a null text has size 0; a null id draws as the id "". Rows of the same id
+draw the same number. A source of no words has the target 0 and its documents are not emitted. Other columns are
+carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, table
+from .common import WORD, checkpoint, enclosed, table
 
 WEIGHTS = (5, 2, 1)
 #: Sources up to this number (some 10 MB) are broadcast to the documents; more are joined by a shuffle.
@@ -48,29 +51,31 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def planned(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies, the times that each document is emitted."""
+    """(row, size, source_size, target, copies): all columns of ``docs`` as one, and the times that each document is emitted."""
     targets = checkpoint(source_targets(docs.select("source", size_of(F.col("text")).alias("size"))))
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    targets = targets.withColumnRenamed("source", "of")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = docs.withColumn("_size", size_of(F.col("text"))).join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    joined = joined.withColumn("_rate", rate)
-    copies = F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")
-    return joined.withColumn("_copies", copies).drop("_rate")
+    rows = enclosed(docs, size_of(F.col("text")).alias("size"), F.col("source").alias("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    joined = rows.join(targets, F.col("own").eqNullSafe(F.col("of")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("id")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    joined = joined.withColumn("rate", rate)
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes it, with ``copy`` counting from 1."""
-    out = planned(docs).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.drop("_size", "_source_size", "_target", "_copies")
+    """Every document as often as the mix takes it, and ``copy``, counting from 1, where ``docs`` has no such column."""
+    number = [] if "copy" in docs.columns else [F.col("copy")]
+    out = planned(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *number)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and what the mix takes of each."""
     docs = planned(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return docs.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP3_SQL = r"""
@@ -84,7 +89,7 @@ s4 AS (SELECT *, w * l::DOUBLE > 4.0::DOUBLE * source_size * lw AS f FROM s3),
 s5 AS (SELECT *, 3 * a - 4 * sum(CASE WHEN f THEN source_size ELSE 0 END) OVER () AS r, sum(CASE WHEN f THEN 0 ELSE w END) OVER () AS rw FROM s4),
 s6 AS (SELECT source, source_size, CASE WHEN f THEN 2.0::DOUBLE * source_size ELSE (w * r)::DOUBLE / (2 * rw)::DOUBLE END AS target FROM s5),
 e AS (SELECT d.doc_id, d.size, s6.source_size, s6.target, CASE WHEN s6.source_size > 0 THEN s6.target / s6.source_size::DOUBLE ELSE 0 END AS rate,
-      ('0x' || substr(md5('mix:' || CAST(d.doc_id AS VARCHAR)), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+      ('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
       FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
 SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM e
 """
