@@ -23,6 +23,11 @@ def document_body(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.when(found, body_of(F.col("tex"))).otherwise(F.col("tex")).alias("body"), (~found).alias("whole"))
 
 
+def preambles(papers: DataFrame) -> DataFrame:
+    """EXT-6: (paper_id, preamble): what stands before the document; empty where there is none."""
+    return papers.select("paper_id", F.regexp_extract("tex", r"(?s)^(.*?)\\begin\{document\}", 1).alias("preamble"))
+
+
 def body_metadata(papers: DataFrame) -> DataFrame:
     """EXT-10: (paper_id, title, authors, abstract) of the body, cleaned of comments and white space only."""
     body = body_of(F.col("tex"))
@@ -94,6 +99,12 @@ def label_resolution(papers: DataFrame) -> DataFrame:
     return p.select("paper_id", total.alias("total"), resolved.alias("resolved"), F.array_join(F.array_sort(F.array_except("r", "l")), ",").alias("unresolved"), F.when(total > 0, resolved / total).otherwise(0.0).alias("rate"))
 
 
+def distinct_names(candidates: DataFrame) -> DataFrame:
+    """REL-13: (paper_id, labels, refs): the different labels and references among candidates, sorted."""
+    of = lambda b: F.array_join(F.array_sort(F.collect_set(F.when(F.col("bucket") == b, F.col("content")))), ",").alias(b)
+    return candidates.groupBy("paper_id").agg(of("labels"), of("refs"))
+
+
 def math_sets(papers: DataFrame) -> DataFrame:
     """EXT-25: number of distinct inline and displayed formulas."""
     display = F.regexp_extract_all("tex", F.lit(r"(?s)\\\[(.*?)\\\]"), F.lit(0))

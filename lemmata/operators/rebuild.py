@@ -74,6 +74,16 @@ def tree_edges(elements: DataFrame, from_spans: bool = False) -> DataFrame:
     return elements.select("paper_id", node.alias("src"), F.posexplode(found).alias("pos", "dst"))
 
 
+def section_paths(sections: DataFrame) -> DataFrame:
+    """REL-16: (paper_id, section_id, depth, path): titles from the top down to each section, joined by " / ".
+
+    Headers have three levels, so two joins to parents reach the top.
+    """
+    up = lambda k: sections.select("paper_id", F.col("section_id").alias(f"s{k}"), F.col("parent_id").alias(f"s{k + 1}"), F.col("title").alias(f"t{k}"))
+    s = up(0).join(up(1), ["paper_id", "s1"], "left").join(up(2), ["paper_id", "s2"], "left")
+    return s.select("paper_id", F.col("s0").alias("section_id"), (1 + F.col("s1").isNotNull().cast("int") + F.col("s2").isNotNull().cast("int")).alias("depth"), F.concat_ws(" / ", "t2", "t1", "t0").alias("path"))
+
+
 def section_texts(sections: DataFrame) -> DataFrame:
     """(paper_id, section_id, top, text): what a section itself writes: its raw content up to the first header of a child,
     or where it has none, its header."""

@@ -76,6 +76,9 @@ QUERIES = {
     "graph_layout": q._on_graph(lambda n, e: G.layout(n)),
     "graph_files": q._entities(G.graph_files),
     "loaded_elements": _tree(lambda p, s, e: reports.loaded_trees(reports.tree_json(s, e))[1].drop("type_ord", "pos")),
+    "section_paths": _tree(lambda p, s, e: B.section_paths(s)),
+    "preambles": q._papers(D.preambles),
+    "distinct_names": q._papers(lambda p: D.distinct_names(D.regex_candidates(p))),
     "tree_issues": _tree(lambda p, s, e: M.tree_issues(R.tree_coverage(p, s, e))),
     "unresolved_references": _tree(lambda p, s, e: R.unresolved_references(p, B.label_map(s, e))),
     "label_map": _tree(lambda p, s, e: B.label_map(s, e)),
@@ -245,6 +248,9 @@ SELECT paper_id, 'Graph score: ' || printf('%.2f', (o // 100 + CASE WHEN o % 100
 SELECT paper_id, node_id, CASE WHEN length(name) > 30 THEN left(name, 27) || '...' ELSE name END AS label, {q._COLOR} AS color, round(cos(angle), 6) + 0.0::DOUBLE AS x, round(sin(angle), 6) + 0.0::DOUBLE AS y FROM a""",
     "graph_files": _FILES,
     "loaded_elements": q.SQL["section_elements"],
+    "section_paths": f"WITH {q._TREE} SELECT a.paper_id, CAST(a.section_id AS INTEGER) AS section_id, CAST(1 + (a.parent_id IS NOT NULL)::INT + (b.parent_id IS NOT NULL)::INT AS INTEGER) AS depth, concat_ws(' / ', c.title, b.title, a.title) AS path FROM sections a LEFT JOIN sections b ON b.paper_id = a.paper_id AND b.section_id = a.parent_id LEFT JOIN sections c ON c.paper_id = b.paper_id AND c.section_id = b.parent_id",
+    "preambles": f"WITH {PAPERS_SQL} SELECT paper_id, {_PRE} AS preamble FROM papers",
+    "distinct_names": f"WITH {q._CANDIDATES} SELECT paper_id, coalesce(string_agg(DISTINCT content, ',' ORDER BY content) FILTER (bucket = 'labels'), '') AS labels, coalesce(string_agg(DISTINCT content, ',' ORDER BY content) FILTER (bucket = 'refs'), '') AS refs FROM candidates GROUP BY 1",
     "tree_issues": f"WITH c AS ({q.SQL['tree_coverage']}) " + " UNION ALL ".join(f"SELECT paper_id, {i} AS pos, '{name} coverage low: ' || {_percent(c)} AS issue FROM c WHERE {c} < {least}" for i, (c, least, name) in enumerate(M.TREE_ISSUES)),
     "unresolved_references": rf"""WITH {_LABELLED}, refs AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(tex, '\\(?:ref|eqref)\{{([^}}]+)\}}', 1)) AS label FROM papers)
 SELECT paper_id, string_agg(label, ', ' ORDER BY label) AS refs FROM refs WHERE (paper_id, label) NOT IN (SELECT paper_id, label FROM label_map) GROUP BY paper_id""",

@@ -92,6 +92,16 @@ def fetched(ids: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
     return ids.select("paper_id", F.col("key").cast("string").alias("key")).mapInPandas(run, f"paper_id {kind}, key string, content binary")
 
 
+def source_or_pdf(ids: DataFrame, fetch_source: Callable[[str], bytes], read_pdf: Callable[[str], bytes]) -> DataFrame:
+    """SRC-11: (paper_id, text, origin) of (paper_id, key): the main file of a paper's archive, or where there is none, the
+    text of its PDF, which ``read_pdf`` gives by the key as UTF-8."""
+    main = main_files(archive_files(fetched(ids, fetch_source)))
+    source = main.select("paper_id", F.col("tex").alias("text"), F.lit("source").alias("origin"))
+    rest = ids.join(source.select("paper_id"), "paper_id", "left_anti")
+    read = fetched(rest, read_pdf).where("content IS NOT NULL")
+    return source.unionAll(read.select("paper_id", F.col("content").cast("string"), F.lit("pdf")))
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """SRC-9: (paper_id, text) of (paper_id, page, text): pages in order, a blank line between."""
     return pages.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n\n").alias("text"))

@@ -126,6 +126,13 @@ def test_archives_pages_and_fallbacks(spark):
     assert [r.is_latex for r in L.sniffed(s).collect()] == [True, False, False]
 
 
+def test_source_or_pdf(spark):
+    data = archive(a_tex=b"\\begin{document}x\\end{document}")
+    ids = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "paper_id long, key string")
+    got = L.source_or_pdf(ids, lambda k: {"a": data, "b": b"junk"}[k], lambda k: {"b": "päge".encode()}[k])
+    assert [tuple(r) for r in got.orderBy("paper_id").collect()] == [(1, "\\begin{document}x\\end{document}", "source"), (2, "päge", "pdf")]
+
+
 def test_stream_of_files_has_each_paper_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
