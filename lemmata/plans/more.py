@@ -215,6 +215,19 @@ written AS (SELECT n.paper_id, 0 AS kind, first, 0 AS spot, '  "' || replace(nod
  FROM edges e JOIN spots ON spots.paper_id = e.paper_id AND spots.src = e.src AND spots.dst = e.dst JOIN firsts ON firsts.paper_id = e.paper_id AND firsts.node_id = e.src)
 SELECT paper_id, 'digraph MathDependencies {{' || chr(10) || '  rankdir=TB;' || chr(10) || '  node [shape=box, style=rounded, fontname="Arial"];' || chr(10) || string_agg(dot, chr(10) ORDER BY kind, first, spot) || chr(10) || '}}' AS dot,
  '```mermaid' || chr(10) || 'flowchart TD' || chr(10) || {_CLASSES} || chr(10) || string_agg(flow, chr(10) ORDER BY kind, first, spot) || chr(10) || '```' AS mermaid FROM written GROUP BY paper_id"""
+_JSON = lambda c: f"CAST(to_json({c}) AS VARCHAR)"
+_ITEMS = lambda c: f"'[' || coalesce(list_aggregate(list_transform({c}, lambda x: CAST(to_json(x) AS VARCHAR)), 'string_agg', ','), '') || ']'"
+_BEFORE, _AFTER = reports.PAGE.split("GRAPH")
+_HTML = f"""WITH {q._GRAPH}, ns AS (SELECT paper_id, string_agg('{{"id":' || {_JSON('node_id')} || ',"name":' || {_JSON('name')} || ',"type":' || {_JSON('type')} || '}}', ',' ORDER BY node_id, name, type) AS t FROM nodes GROUP BY 1),
+ls AS (SELECT paper_id, string_agg('{{"source":' || {_JSON('src')} || ',"target":' || {_JSON('dst')} || '}}', ',' ORDER BY src, dst) AS t FROM edges GROUP BY 1)
+SELECT ns.paper_id, {_quoted(_BEFORE)} || replace('{{"nodes":[' || ns.t || ']' || CASE WHEN ls.t IS NOT NULL THEN ',"links":[' || ls.t || ']' ELSE '' END || '}}', '<', '\\u003c') || {_quoted(_AFTER)} AS html FROM ns LEFT JOIN ls USING (paper_id)"""
+_ANALYSIS = f"""WITH meta AS ({q.SQL['paper_metadata']}), counts AS ({q.SQL['category_statistics']}), cited AS ({q.SQL['entity_cited_by']}), titles AS (SELECT paper_id, list(title ORDER BY pos) AS titles FROM ({q.SQL['section_titles']}) GROUP BY 1),
+listed AS (WITH {q.ENTITIES_SQL} SELECT e.paper_id, string_agg('{{"type":' || {_JSON('type')} || ',"name":' || {_JSON('name')} || ',"label":' || coalesce({_JSON('e.label')}, 'null')
+ || ',"content":' || {_JSON("CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END")} || ',"dependencies":' || {_ITEMS('refs')} || ',"cited_by":' || {_ITEMS("coalesce(string_split(cited_by, ','), [])")} || '}}', ',' ORDER BY type_ord, idx) AS t
+ FROM entities e LEFT JOIN cited ON cited.paper_id = e.paper_id AND cited.label = e.label GROUP BY 1)
+SELECT meta.paper_id, '{{"title":' || {_JSON('title')} || ',"authors":' || {_ITEMS("CASE WHEN authors <> '' THEN string_split(authors, '; ') ELSE [] END")} || ',"abstract":' || {_JSON('abstract')} || ',"sections":' || {_ITEMS('coalesce(titles, [])')}
+ || ',"statistics":{{' || {" || ',' || ".join(f"""'"{c}":' || coalesce({c}, 0)""" for c in [*P.CATEGORIES.values(), 'total'])} || '}},"entities":[' || coalesce(listed.t, '') || ']}}' AS json
+FROM meta LEFT JOIN counts USING (paper_id) LEFT JOIN titles USING (paper_id) LEFT JOIN listed USING (paper_id)"""
 _WINDOWS = " UNION ALL ".join(
     rf"SELECT paper_id, text, '{k}' AS type, {j} AS j, regexp_split_to_array(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS seps FROM t" for k, ps in P.KEYWORDS.items() for j, p in enumerate(ps)
 )
@@ -263,6 +276,8 @@ SELECT paper_id, string_agg(label, ', ' ORDER BY label) AS refs FROM refs WHERE
     "document_body": rf"WITH {PAPERS_SQL}, t AS (SELECT paper_id, {BARE} AS tex FROM papers), f AS (SELECT *, regexp_matches(tex, '(?s)\\begin\{{document\}}.*?\\end\{{document\}}') AS found FROM t) SELECT paper_id, CASE WHEN found THEN {_BODY} ELSE tex END AS body, NOT found AS whole FROM f",
     "body_metadata": f"WITH {PAPERS_SQL}, b AS (SELECT paper_id, {_BODY} AS body FROM papers) SELECT paper_id, {_TITLE} AS title, list_aggregate({_AUTHORS}, 'string_agg', '; ') AS authors, {_ABSTRACT} AS abstract FROM b",
     "document_chunks": _CHUNKED,
+    "export_html": _HTML,
+    "analysis_json": _ANALYSIS,
     "problem_areas": _AREAS,
     "analysis_markdown": _MARKDOWN,
     "chunk_totals": f"WITH RECURSIVE {PAPERS_SQL}, bodies AS (SELECT paper_id, {_BODY} AS tex FROM papers), {_chunked('bodies', 8000, 1000, 500)} SELECT paper_id, count(*) AS chunks, {', '.join(f'CAST(0 AS BIGINT) AS {k}' for k in A.CHUNK)} FROM chunks GROUP BY paper_id",
