@@ -19,6 +19,8 @@ Client = Callable[[str], str]
 # What stands in for a review.
 FAILED = "Review generation failed. Please check API key configuration."
 SKIPPED = "Review generation skipped - no API key"
+#: How a review prompt ends.
+CLOSING = "Cover contribution, proofs and their gaps, errors, dependencies, notation, literature, and at least five changes, each with its place, priority and remedy. Quote what you criticise. End by recommending one of: accept, accept with minor revisions, major revision, reject."
 VERDICT = "is_valid boolean, type string, number string, label string, name string, statement string, has_proof boolean, issues array<string>"
 AREA = "array<struct<type: string, label: string, name: string, statement: string, position: string>>"
 CHUNK = {
@@ -86,7 +88,7 @@ def review_prompts(papers: DataFrame, entities: DataFrame, definitions: int = 8,
         "\n", F.lit("Review this mathematical paper in English, as its expert referee."), F.concat(F.lit("Title: "), said("title", "Title not extracted")), F.concat(F.lit("Authors: "), said("authors", "Unknown")),
         F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit(""))), F.concat(F.lit("Counts: "), counts), F.lit("Definitions:"), said("definition_list", "No definitions extracted"), F.lit("Theorems:"), said("theorem_list", "No theorems extracted"),
         F.concat(F.lit("Entities without references in or out: "), number("isolated"), F.lit("; with both: "), number("connected")),
-        F.lit("Cover contribution, proofs and their gaps, errors, dependencies, notation, literature, and at least five changes, each with its place, priority and remedy. Quote what you criticise. End by recommending one of: accept, accept with minor revisions, major revision, reject."),
+        F.lit(CLOSING),
     )
     return out.select("paper_id", prompt.alias("prompt"))
 

@@ -228,6 +228,27 @@ listed AS (WITH {q.ENTITIES_SQL} SELECT e.paper_id, string_agg('{{"type":' || {_
 SELECT meta.paper_id, '{{"title":' || {_JSON('title')} || ',"authors":' || {_ITEMS("CASE WHEN authors <> '' THEN string_split(authors, '; ') ELSE [] END")} || ',"abstract":' || {_JSON('abstract')} || ',"sections":' || {_ITEMS('coalesce(titles, [])')}
  || ',"statistics":{{' || {" || ',' || ".join(f"""'"{c}":' || coalesce({c}, 0)""" for c in [*P.CATEGORIES.values(), 'total'])} || '}},"entities":[' || coalesce(listed.t, '') || ']}}' AS json
 FROM meta LEFT JOIN counts USING (paper_id) LEFT JOIN titles USING (paper_id) LEFT JOIN listed USING (paper_id)"""
+_OR = lambda c, other: f"CASE WHEN coalesce({c}, '') = '' THEN '{other}' ELSE {c} END"
+
+
+def _listed(kind: str, most: int, chars: int) -> str:
+    """CTEs: ``first`` entities of a kind by key, and their lines as one text."""
+    told = f"'{kind.capitalize()} ' || n || ' (label ' || coalesce(x.label, 'N/A') || '): ' || CASE WHEN length(x.content) > {chars} THEN left(x.content, {chars}) || '...' ELSE x.content END"
+    if kind == "theorem":
+        told += f""" || chr(10) || '  depends on: ' || {_OR("coalesce(list_aggregate(x.refs, 'string_agg', ', '), '')", 'none')} || chr(10) || '  cited by: ' || {_OR('x.cited_by', 'none')}"""
+    return f"""{kind}_keys AS (SELECT paper_id, key, min(idx) AS place, arg_max({{'label': label, 'content': content, 'refs': refs, 'cited_by': cited_by}}, idx) AS x FROM linked WHERE type = '{kind}' GROUP BY 1, 2),
+{kind}_rows AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY place) AS n FROM {kind}_keys), {kind}_text AS (SELECT paper_id, string_agg({told}, chr(10) ORDER BY n) AS t FROM {kind}_rows WHERE n <= {most} GROUP BY 1)"""
+
+
+_PROMPTS = f"""WITH meta AS ({q.SQL['paper_metadata']}), counts AS ({q.SQL['category_statistics']}), cited AS ({q.SQL['entity_cited_by']}),
+linked AS (WITH {q.ENTITIES_SQL} SELECT e.paper_id, e.type, e.idx, e.label, e.content, e.refs, cited_by, coalesce(e.label, e.type || '_' || e.idx) AS key FROM entities e LEFT JOIN cited ON cited.paper_id = e.paper_id AND cited.label = e.label),
+links AS (SELECT paper_id, count(*) FILTER (len(refs) = 0 AND cited_by IS NULL) AS isolated, count(*) FILTER (len(refs) > 0 AND cited_by IS NOT NULL) AS connected, count(DISTINCT key) FILTER (type LIKE 'equation%') AS equations FROM linked GROUP BY 1),
+{_listed('definition', 8, 400)}, {_listed('theorem', 6, 500)}
+SELECT meta.paper_id, concat_ws(chr(10), 'Review this mathematical paper in English, as its expert referee.', 'Title: ' || {_OR('title', 'Title not extracted')}, 'Authors: ' || {_OR('authors', 'Unknown')}, 'Abstract: ' || coalesce(abstract, ''),
+ 'Counts: ' || concat_ws(', ', {', '.join(f"'{c} ' || coalesce({c}, 0)" for c in ('definitions', 'theorems', 'lemmas', 'propositions', 'corollaries', 'equations'))}),
+ 'Definitions:', {_OR('definition_text.t', 'No definitions extracted')}, 'Theorems:', {_OR('theorem_text.t', 'No theorems extracted')},
+ 'Entities without references in or out: ' || coalesce(isolated, 0) || '; with both: ' || coalesce(connected, 0), {_quoted(A.CLOSING)}) AS prompt
+FROM meta LEFT JOIN counts USING (paper_id) LEFT JOIN links USING (paper_id) LEFT JOIN definition_text USING (paper_id) LEFT JOIN theorem_text USING (paper_id)"""
 _WINDOWS = " UNION ALL ".join(
     rf"SELECT paper_id, text, '{k}' AS type, {j} AS j, regexp_split_to_array(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS seps FROM t" for k, ps in P.KEYWORDS.items() for j, p in enumerate(ps)
 )
@@ -276,6 +297,7 @@ SELECT paper_id, string_agg(label, ', ' ORDER BY label) AS refs FROM refs WHERE
     "document_body": rf"WITH {PAPERS_SQL}, t AS (SELECT paper_id, {BARE} AS tex FROM papers), f AS (SELECT *, regexp_matches(tex, '(?s)\\begin\{{document\}}.*?\\end\{{document\}}') AS found FROM t) SELECT paper_id, CASE WHEN found THEN {_BODY} ELSE tex END AS body, NOT found AS whole FROM f",
     "body_metadata": f"WITH {PAPERS_SQL}, b AS (SELECT paper_id, {_BODY} AS body FROM papers) SELECT paper_id, {_TITLE} AS title, list_aggregate({_AUTHORS}, 'string_agg', '; ') AS authors, {_ABSTRACT} AS abstract FROM b",
     "document_chunks": _CHUNKED,
+    "review_prompts": _PROMPTS,
     "export_html": _HTML,
     "analysis_json": _ANALYSIS,
     "problem_areas": _AREAS,
