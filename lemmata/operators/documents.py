@@ -30,18 +30,26 @@ def preambles(papers: DataFrame) -> DataFrame:
 
 def body_metadata(papers: DataFrame) -> DataFrame:
     """EXT-10: (paper_id, title, authors, abstract) of the body, cleaned of comments and white space only."""
-    body = body_of(F.col("tex"))
+    return papers.select("paper_id", *(c.alias(n) for n, c in metadata_of(F.col("tex")).items()))
+
+
+def metadata_of(tex: Column) -> dict[str, Column]:
+    body = body_of(tex)
     first = lambda p: T.clean_light(F.regexp_extract(body, p, 1))
     authors = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)\\author\{(.*?)\}"), F.lit(1)), T.clean_light)
-    return papers.select("paper_id", first(r"(?s)\\title\{(.*?)\}").alias("title"), authors.alias("authors"), first(r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}").alias("abstract"))
+    return {"title": first(r"(?s)\\title\{(.*?)\}"), "authors": authors, "abstract": first(r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}")}
+
+
+def packages_of(tex: Column) -> Column:
+    """Packages of a preamble, as an array of (name, options)."""
+    p = r"\\usepackage(?:\[(.*?)\])?\{(.*?)\}"
+    preamble = F.regexp_extract(tex, r"(?s)^(.*?)\\begin\{document\}", 1)
+    return F.transform(F.regexp_extract_all(preamble, F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, 2).alias("name"), F.regexp_extract(m, p, 1).alias("options")))
 
 
 def packages(papers: DataFrame) -> DataFrame:
     """EXT-7: packages and options of the preamble, in order."""
-    p = r"\\usepackage(?:\[(.*?)\])?\{(.*?)\}"
-    preamble = F.regexp_extract("tex", r"(?s)^(.*?)\\begin\{document\}", 1)
-    found = F.transform(F.regexp_extract_all(preamble, F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, 2).alias("name"), F.regexp_extract(m, p, 1).alias("options")))
-    return papers.select("paper_id", F.posexplode(found).alias("pos", "x")).select("paper_id", "pos", "x.name", "x.options")
+    return papers.select("paper_id", F.posexplode(packages_of(F.col("tex"))).alias("pos", "x")).select("paper_id", "pos", "x.name", "x.options")
 
 
 def section_tree(papers: DataFrame) -> DataFrame:
@@ -80,14 +88,14 @@ def paragraphs(sections: DataFrame) -> DataFrame:
     return sections.select("paper_id", "section_id", F.posexplode(kept).alias("pos", "text"))
 
 
-def original_counts(papers: DataFrame) -> DataFrame:
-    """EXT-23: what a regex count of the source finds."""
+def original_counts(papers: DataFrame, **more: Column) -> DataFrame:
+    """EXT-23: what a regex count of the source finds, and ``more`` columns of the same scan."""
     count = lambda p: F.regexp_count("tex", F.lit(p)).cast("long")
     env = lambda e: count(rf"\\begin\{{{e}\}}")
     kinds = {"definitions": env("definition"), "lemmas": env("lemma"), "propositions": env("proposition"), "corollaries": env("corollary")}
     all_ = sum(kinds.values(), env("theorem")).cast("long")
     sums = {"sections": count(r"\\section\{"), "subsections": count(r"\\subsection\{"), "theorems": all_, **kinds, "equations": env("equation"), "citations": count(r"\\cite\{")}
-    return papers.select("paper_id", *(c.alias(n) for n, c in sums.items()))
+    return papers.select("paper_id", *(c.alias(n) for n, c in (sums | more).items()))
 
 
 def label_resolution(papers: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .documents import body_metadata, packages
-from .tree import custom_commands
+from .documents import metadata_of, packages_of
+from .tree import commands_of
 
 # Characters that LaTeX reserves and their escapes; the order matters, since the first brings braces.
 ESCAPES = (("\\", "\\textbackslash{}"), ("{", "\\{"), ("}", "\\}"), ("$", "\\$"), ("&", "\\&"), ("%", "\\%"), ("#", "\\#"), ("_", "\\_"), ("^", "\\^"), ("~", "\\~{}"))
@@ -113,13 +113,13 @@ def reconstructed(papers: DataFrame, sections: DataFrame, bibliography: DataFram
     """SNK-9: (paper_id, latex): class, packages, commands, the rest of the preamble, front matter, sections in order, and
     the bibliography (paper_id, pos, key, fields), if one is given."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
-    pkg = F.concat(F.lit("\\usepackage"), F.when(F.col("options") != "", F.concat(F.lit("["), "options", F.lit("]"))).otherwise(""), F.lit("{"), "name", F.lit("}"))
-    pkgs = packages(papers).withColumn("line", pkg).groupBy("paper_id").agg(ordered("line").alias("pkgs"))
-    cmd = F.concat(F.lit("\\newcommand{"), "name", F.lit("}["), "n_args", F.lit("]{"), "definition", F.lit("}"))
-    cmds = custom_commands(papers).withColumn("line", cmd).groupBy("paper_id").agg(ordered("line").alias("cmds"))
+    option = lambda x: F.when(x["options"] != "", F.concat(F.lit("["), x["options"], F.lit("]"))).otherwise("")
+    pkgs = F.transform(packages_of(F.col("tex")), lambda x: F.concat(F.lit("\\usepackage"), option(x), F.lit("{"), x["name"], F.lit("}")))
+    cmds = F.transform(commands_of(F.col("tex")), lambda x: F.concat(F.lit("\\newcommand{"), x["name"], F.lit("}["), x["n_args"], F.lit("]{"), x["definition"], F.lit("}")))
     piece = F.concat(F.when(F.col("top"), "\n").otherwise("\n\n"), "text")
     body = section_texts(sections).select("paper_id", F.col("section_id").alias("pos"), piece.alias("piece")).groupBy("paper_id").agg(F.array_join(ordered("piece"), "").alias("body"))
-    p = papers.join(pkgs, "paper_id", "left").join(cmds, "paper_id", "left").join(body, "paper_id", "left").join(body_metadata(papers), "paper_id", "left")
+    front = papers.select("paper_id", "tex", pkgs.alias("pkgs"), cmds.alias("cmds"), *(c.alias(n) for n, c in metadata_of(F.col("tex")).items()))
+    p = front.join(body, "paper_id", "left")
     none = F.array().cast("array<string>")
     closing = F.lit("")
     if bibliography is not None:

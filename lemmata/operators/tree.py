@@ -18,13 +18,17 @@ FIRST_PROOF = r"(?s)^(.*?)\\begin\{proof\}.*?\\end\{proof\}(.*)$"
 TOKEN = r"\\(begin|end)\{([^}]+)\}"
 
 
-def custom_commands(papers: DataFrame) -> DataFrame:
-    """EXT-8: new commands of the preamble, with their number of arguments, in order."""
+def commands_of(tex: Column) -> Column:
+    """New commands of a preamble, as an array of (name, n_args, definition)."""
     p = r"(?s)\\newcommand\{(.+?)\}(?:\[(\d+)\])?\{(.+?)\}"
-    preamble = F.regexp_extract("tex", r"(?s)^(.*?)\\begin\{document\}", 1)
+    preamble = F.regexp_extract(tex, r"(?s)^(.*?)\\begin\{document\}", 1)
     part = lambda m, g: F.regexp_extract(m, p, g)
-    found = F.transform(F.regexp_extract_all(preamble, F.lit(p), F.lit(0)), lambda m: F.struct(part(m, 1).alias("name"), F.coalesce(F.nullif(part(m, 2), F.lit("")), F.lit("0")).alias("n_args"), part(m, 3).alias("definition")))
-    return papers.select("paper_id", F.posexplode(found).alias("pos", "x")).select("paper_id", "pos", "x.*")
+    return F.transform(F.regexp_extract_all(preamble, F.lit(p), F.lit(0)), lambda m: F.struct(part(m, 1).alias("name"), F.coalesce(F.nullif(part(m, 2), F.lit("")), F.lit("0")).alias("n_args"), part(m, 3).alias("definition")))
+
+
+def custom_commands(papers: DataFrame) -> DataFrame:
+    """EXT-8: new commands of the preamble, with their number of arguments, in order."""
+    return papers.select("paper_id", F.posexplode(commands_of(F.col("tex"))).alias("pos", "x")).select("paper_id", "pos", "x.*")
 
 
 def section_elements(sections: DataFrame, patterns: dict[str, str] = P.SECTION_PATTERNS) -> DataFrame:
@@ -58,14 +62,18 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def tree_coverage(papers: DataFrame, sections: DataFrame, elements: DataFrame) -> DataFrame:
     """TQ-1, TQ-3, TQ-4, AGG-7, AGG-8: shares of the source found in the tree, resolved references, and whether levels nest."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    depth = F.when(F.col("parent_id").isNull(), 1).when(F.col("level") == 3, F.when(F.col("_p") == 1, 2).otherwise(3)).otherwise(2)
-    parents = sections.select("paper_id", F.col("section_id").alias("parent_id"), F.col("level").alias("_p"))
-    s = sections.join(parents, ["paper_id", "parent_id"], "left")
-    s = s.groupBy("paper_id").agg(F.count_if(F.col("parent_id").isNull()).alias("top"), F.bool_and(F.col("level") == depth).alias("nested"))
-    e = elements.groupBy("paper_id").agg(F.count_if(~F.col("type").startswith("equation")).alias("n_elements"), F.count_if(F.col("type").startswith("equation")).alias("n_equations"))
-    named = sections.select("paper_id", "label").unionAll(elements.select("paper_id", "label")).where("label != ''").groupBy("paper_id").agg(F.collect_set("label").alias("labels"))
-    refs = papers.select("paper_id", F.array_distinct(F.regexp_extract_all("tex", F.lit(r"\\(?:ref|eqref)\{([^}]+)\}"), F.lit(1))).alias("refs"))
-    o = original_counts(papers).join(refs, "paper_id").join(s, "paper_id", "left").join(e, "paper_id", "left").join(named, "paper_id", "left")
+    # A parent is the last header of its level before; which level that is tells how deep its children are.
+    before = Window.partitionBy("paper_id").orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)
+    under_two = F.col("parent_id") == F.max(F.when(F.col("level") == 2, F.col("section_id"))).over(before)
+    depth = F.when(F.col("parent_id").isNull(), 1).when((F.col("level") == 3) & under_two, 3).otherwise(2)
+    named = F.collect_set(F.when(F.col("label") != "", F.col("label")))
+    s = sections.withColumn("_depth", depth).groupBy("paper_id").agg(F.count_if(F.col("parent_id").isNull()).alias("top"), F.bool_and(F.col("level") == F.col("_depth")).alias("nested"), named.alias("s_labels"))
+    equation = F.col("type").startswith("equation")
+    e = elements.groupBy("paper_id").agg(F.count_if(~equation).alias("n_elements"), F.count_if(equation).alias("n_equations"), named.alias("e_labels"))
+    refs = F.array_distinct(F.regexp_extract_all("tex", F.lit(r"\\(?:ref|eqref)\{([^}]+)\}"), F.lit(1)))
+    o = original_counts(papers, refs=refs).join(s, "paper_id", "left").join(e, "paper_id", "left")
+    none = F.array().cast("array<string>")
+    o = o.withColumn("labels", F.array_union(F.coalesce("s_labels", none), F.coalesce("e_labels", none)))
     zero = lambda c: F.coalesce(c, F.lit(0))
     resolved = F.coalesce(F.size(F.array_intersect("refs", "labels")), F.lit(0))
     return o.select(
