@@ -2,26 +2,31 @@
 
 Base rules (host and path prefix, the longest that fits wins) decide where one fits. Their verdicts are also the labels
 of a tree of path templates per host: segments that are numbers, long hexadecimal strings, dates or mixed words become
-wildcards by their form. Sibling branches whose share of labelled bad pages doesn't differ from that of all of them by
-more than ``z`` standard errors are merged into the parent's wildcard. A branch without labels shows no likeness: it
-stays by itself, or in the wildcard of all such where a parent has more than ``fan`` different ones, so the width of a
-parent gives no page the labels of others. A path is blocked when its template's smoothed purity, in which pages without
-labels count as its prior says,
+wildcards by their form, and all beyond the first ``depth`` are one wildcard. The tree is then merged from its root
+down, level by level: labelled siblings whose share of bad pages doesn't differ from that of all of them by more than
+``z`` standard errors become one branch, and what was below them is pooled before the next level is looked at. A branch
+without labels shows no likeness: it stays by itself, or in the wildcard of all such where a parent has more than ``fan``
+different ones, so the width of a parent gives no page the labels of others. A path is blocked when its template's
+smoothed purity, in which pages without labels count as its prior says,
 
     (bad + (unlabelled + strength) * pooled) / (labelled + unlabelled + strength)
 
-is over ``purity``. The prior of a path is pooled over the other hosts: of those that have labels for paths of the same
-form, ``against`` of ``votes`` have mostly bad ones (one vote each, so no host decides by its size), and
+is over ``purity``. The prior of a path comes from the other hosts, from its first segment to its whole form: of the
+hosts with labels below a prefix, ``against`` of ``votes`` have mostly bad ones (one vote each, so no host decides by its
+size), and
 
-    pooled = (against + strength * prior) / (votes + strength)
+    pooled(prefix) = (against + strength * pooled(prefix without its last segment)) / (votes + strength)
 
-so pages that no rule reaches are judged by what the rules say of such paths elsewhere.
+with ``prior`` for the empty path, so pages that no rule reaches are judged by what the rules say of such paths
+elsewhere: of that very form, or where it is new, of the section that it lies in.
 
-DataFrame functions only. Counts are partial aggregates by (host, template), so a host of a third of all pages is a few
-rows; the join of pages and templates may be split by Spark where a template is hot.
+DataFrame functions only. Counts are partial aggregates by (host, form), so a host of a third of all pages is a few rows;
+each level of the tree is two groups and a join of such rows. The join of pages and templates may be split by Spark
+where a template is hot.
 
 Nulls: a null url, or one without ``://``, has the empty host and path, fits no rule and is in the template of all such.
-Labels are bad (1), good (0) or null. Repeated rows count each.
+Labels are bad (1), good (0) or null. Repeated rows count each. ``judged`` carries other columns whatever their names,
+but for those of its own (_host, _path, _rule, _template, _purity, _verdict), which it replaces.
 """
 
 from __future__ import annotations
@@ -29,13 +34,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_ascii, table
+from .common import checkpoint, enclosed, lower_ascii, table
 
 #: (verdict, rule): the host and all of its subdomains, for paths that start as the rule's does.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Forms that are variable, in order: the pattern of a whole segment and its wildcard.
 FORMS = ((r"^[0-9]+$", "{n}"), (r"^[0-9]+(\.[A-Za-z0-9]{1,5})$", "{n}$1"), (r"^[0-9a-fA-F-]{16,}$", "{h}"), (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{d}"), (r"^(?=.*[0-9])(?=.*[A-Za-z]).{8,}$", "{m}"))
-FAN, Z, STRENGTH, PRIOR, PURITY = 20, 2.0, 4.0, 0.1, 0.5
+FAN, Z, STRENGTH, PRIOR, PURITY, DEPTH = 20, 2.0, 4.0, 0.1, 0.5, 12
+#: All segments beyond the depth.
+DEEP = "{...}"
 #: Templates up to this number (some 50 MB) are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_TEMPLATES = 200_000
 
@@ -66,51 +73,83 @@ def formed(segment: Column) -> Column:
     return out
 
 
-def templates(pages: DataFrame, fan: int = FAN, z: float = Z, strength: float = STRENGTH, prior: float = PRIOR, purity: float = PURITY) -> DataFrame:
-    """(host, form, template, labelled, bad, purity, reject) from (host, path, label); ``form`` is a path by segment forms."""
-    leaves = pages.groupBy("host", F.array_join(F.transform(F.split("path", "/"), formed), "/").alias("form"))
-    leaves = checkpoint(leaves.agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")))
-    # A node of the tree is (host, depth, parent); its children are the segments below.
-    parts = leaves.select("*", F.posexplode(F.split("form", "/")).alias("depth", "segment"))
-    parent = F.array_join(F.slice(F.split("form", "/"), F.lit(1), F.col("depth")), "/")
-    parts = parts.withColumn("parent", parent)
-    children = parts.groupBy("host", "parent", "depth", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    nodes = children.groupBy("host", "parent", "depth").agg(F.count("*").alias("k"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    c = children.join(nodes, ["host", "parent", "depth"])
-    share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
-    error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-    alike = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= z * error
-    inner = (F.col("k") > 1) & (F.col("depth") > 0)
-    kept = F.when(inner & (F.col("labelled") > 0) & alike, "*").when(inner & (F.col("labelled") == 0) & (F.col("k") > fan), "{u}").otherwise(F.col("segment"))
-    c = c.select("host", "parent", "depth", "segment", kept.alias("kept"))
-    named = parts.join(c, ["host", "parent", "depth", "segment"]).groupBy("host", "form", "n", "labelled", "bad")
-    named = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "kept"))), lambda x: x["kept"]), "/").alias("template"))
-    sums = named.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    against = (2 * F.col("bad") > F.col("labelled")).cast("long")
-    pool = leaves.where("labelled > 0").groupBy("form").agg(F.count("*").alias("votes"), F.sum(against).alias("against"))
+def form_of(path: Column, depth: int = DEPTH) -> Column:
+    """The formed segments of a path, as an array; the first is what stands before the first slash."""
+    parts = F.split(path, "/", depth + 2)
+    # The last of so many holds all the rest.
+    known = F.transform(F.slice(parts, 1, depth + 1), formed)
+    return F.when(F.size(parts) > depth + 1, F.concat(known, F.array(F.lit(DEEP)))).otherwise(known)
+
+
+def joined(segments: Column) -> Column:
+    return F.array_join(segments, "/")
+
+
+def priors(leaves: DataFrame, strength: float = STRENGTH, prior: float = PRIOR) -> DataFrame:
+    """(host, form, pooled): what the other hosts say of each host's forms, from the first segment to the whole."""
+    prefixes = F.transform(F.sequence(F.lit(2), F.size("segments")), lambda d: F.struct(d.alias("depth"), joined(F.slice("segments", F.lit(1), d)).alias("prefix")))
+    none = F.array().cast("array<struct<depth: int, prefix: string>>")
+    rows = leaves.select("host", "form", "labelled", "bad", F.explode_outer(F.when(F.size("segments") > 1, prefixes).otherwise(none)).alias("x")).select("host", "form", "labelled", "bad", "x.*")
+    own = rows.groupBy("host", "prefix").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    vote, against = (F.col("labelled") > 0).cast("long"), (2 * F.col("bad") > F.col("labelled")).cast("long")
+    own = own.select("host", "prefix", vote.alias("own"), against.alias("own_against"))
+    every = own.groupBy("prefix").agg(F.sum("own").alias("votes"), F.sum("own_against").alias("against"))
+    told = rows.select("host", "form", "depth", "prefix").join(own, ["host", "prefix"], "left").join(every, "prefix", "left")
     # A host's own vote doesn't count in its prior.
-    own = named.select("host", "form", "template", (F.col("labelled") > 0).cast("long").alias("own"), against.alias("own_against"))
-    out = own.join(sums, ["host", "template"]).join(pool, "form", "left")
     others = lambda c, mine: F.coalesce(F.col(c) - F.col(mine), F.lit(0))
-    pooled = (others("against", "own_against") + strength * prior) / (others("votes", "own") + strength)
-    out = out.withColumn("purity", (F.col("bad") + (F.col("n") - F.col("labelled") + strength) * pooled) / (F.col("n") + strength))
+    steps = F.array_sort(F.collect_list(F.struct("depth", others("votes", "own").alias("votes"), others("against", "own_against").alias("against"))))
+    step = lambda p, x: (x["against"] + strength * p) / (x["votes"] + strength)
+    return told.groupBy("host", "form").agg(F.aggregate(F.filter(steps, lambda x: x["depth"].isNotNull()), F.lit(prior), step).alias("pooled"))
+
+
+def merged(leaves: DataFrame, fan: int = FAN, z: float = Z) -> DataFrame:
+    """(host, form, template, n, labelled, bad): the tree of each host, merged level by level."""
+    state = leaves.withColumn("template", F.col("segments")[0])
+    levels = leaves.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(1, levels):
+        state = state.withColumn("segment", F.get("segments", F.lit(level)))
+        children = state.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"))
+        some = F.col("c_labelled") > 0
+        nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.count_if(some).alias("k_labelled"), F.sum("c_labelled").alias("all_labelled"), F.sum("c_bad").alias("all_bad"))
+        share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
+        error = F.sqrt(share * (1 - share) / F.greatest(F.col("c_labelled"), F.lit(1)))
+        alike = F.abs(F.col("c_bad") / F.greatest(F.col("c_labelled"), F.lit(1)) - share) <= z * error
+        kept = F.when(some & (F.col("k_labelled") > 1) & alike, "*").when(~some & (F.col("k") > fan), "{u}").otherwise(F.col("segment"))
+        named = children.join(nodes, ["host", "template"]).select("host", "template", "segment", kept.alias("kept"))
+        state = state.join(named, ["host", "template", "segment"], "left")
+        state = checkpoint(state.withColumn("template", F.concat_ws("/", "template", "kept")).drop("segment", "kept"))
+    return state.drop("segments")
+
+
+def templates(pages: DataFrame, fan: int = FAN, z: float = Z, strength: float = STRENGTH, prior: float = PRIOR, purity: float = PURITY, depth: int = DEPTH) -> DataFrame:
+    """(host, form, template, labelled, bad, purity, reject) from (host, path, label); ``form`` is a path by segment forms."""
+    leaves = pages.groupBy("host", form_of(F.col("path"), depth).alias("segments"))
+    leaves = leaves.agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    leaves = checkpoint(leaves.withColumn("form", joined(F.col("segments"))))
+    named = merged(leaves, fan, z)
+    sums = named.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    out = named.select("host", "form", "template").join(sums, ["host", "template"]).join(priors(leaves, strength, prior), ["host", "form"], "left")
+    out = out.withColumn("purity", (F.col("bad") + (F.col("n") - F.col("labelled") + strength) * F.coalesce("pooled", F.lit(prior))) / (F.col("n") + strength))
     return out.select("host", "form", "template", "labelled", "bad", "purity", (F.col("purity") > purity).alias("reject"))
 
 
-def judged(pages: DataFrame, rules=RULES, **parameters) -> DataFrame:
+OWN = ("_host", "_path", "_rule", "_template", "_purity", "_verdict")
+
+
+def judged(pages: DataFrame, rules=RULES, depth: int = DEPTH, **parameters) -> DataFrame:
     """``pages`` (with url) and _host, _path, _rule, _template, _purity and _verdict."""
-    p = pages.withColumn("_host", host_of(F.col("url"))).withColumn("_path", path_of(F.col("url")))
-    rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    p = p.withColumn("_rule", rule).withColumn("_decides", verdict)
-    label = F.when(F.col("_decides") == "block", 1).when(F.col("_decides") == "allow", 0)
-    t = checkpoint(templates(p.select(F.col("_host").alias("host"), F.col("_path").alias("path"), label.alias("label")), **parameters))
-    t = t.select(F.col("host").alias("_h"), F.col("form").alias("_f"), F.col("template").alias("_template"), F.col("purity").alias("_purity"), "reject")
+    p = enclosed(pages, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    p = p.withColumn("rule", rule).withColumn("decides", verdict)
+    label = F.when(F.col("decides") == "block", 1).when(F.col("decides") == "allow", 0)
+    t = checkpoint(templates(p.select("host", "path", label.alias("label")), depth=depth, **parameters)).drop("labelled", "bad")
     if t.count() <= BROADCAST_TEMPLATES:
         t = F.broadcast(t)
-    p = p.withColumn("_form", F.array_join(F.transform(F.split("_path", "/"), formed), "/"))
-    p = p.join(t, (F.col("_host") == F.col("_h")) & (F.col("_form") == F.col("_f")), "left")
+    p = p.withColumn("form", joined(form_of(F.col("path"), depth))).join(t, ["host", "form"], "left")
     own = F.when(F.coalesce("reject", F.lit(False)), "block").otherwise("allow")
-    return p.withColumn("_verdict", F.coalesce("_decides", own)).drop("_h", "_f", "_form", "reject", "_decides")
+    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in OWN]
+    found = ("host", "path", "rule", "template", "purity")
+    return p.select(*kept, *(F.col(c).alias(f"_{c}") for c in found), F.coalesce("decides", own).alias("_verdict"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
