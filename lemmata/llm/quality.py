@@ -10,7 +10,7 @@ than ``least`` documents are merged by language, and those into one of all docum
 DataFrame functions only. The one place that sees a document's words together is its own row.
 
 Nulls: a null text has no word and fails the base rule. Null languages and sources are groups of their own. Repeated
-rows are judged alike.
+rows are judged alike. Other columns are carried by ``keep_quality``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpoint, table
+from .common import SPACE, WORD, checkpoint, enclosed, released, table
 
 SYMBOLS = "#*$%&|<>"
 #: By measure: width of a bucket, number of buckets of that width (above twice that, widths double as values do), slack below and above the quantiles, and whether low values are judged too.
@@ -117,9 +117,10 @@ def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that pass. Measures are taken twice, so that no text is shuffled."""
-    limits = checkpoint(thresholds(sketches(measured(docs.select("lang", "source", "text")).drop("text")), least))
-    return judged(measured(docs), limits).where("_kept").select(*docs.columns)
+    """The rows of ``docs`` that pass. Rows and measures are written once, since measuring costs more than a copy."""
+    measures = checkpoint(measured(enclosed(docs, "lang", "source", "text")).drop("text"))
+    limits = checkpoint(thresholds(sketches(measures), least))
+    return released(judged(measures, limits).where("_kept"), docs)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
