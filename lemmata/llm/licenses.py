@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +40,7 @@ SENTENCES = {
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
-    "mit-liability": "IN NO EVENT SHALL {*} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "apache-notice": "Licensed under the Apache License, Version 2.0",
     "apache-header": 'Licensed under the Apache License, Version 2.0 (the "License");',
     "apache-use": "you may not use this file except in compliance with the License.",
@@ -61,7 +61,7 @@ SENTENCES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-name": "Neither the name of {*} nor the names of {*} contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-notice-2": "Licensed under the BSD 2-Clause License",
     "bsd-notice-3": "Licensed under the BSD 3-Clause License",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -92,6 +92,11 @@ SENTENCES = {
     "wtfpl-title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+# Other wordings of sentences above, as (identifier, sentence).
+VARIANTS = (
+    ("mit-liability", "IN NO EVENT SHALL {*} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-name", "Neither the name of {*} nor the names of {*} contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+)
 # Identifiers of the public licence list, each a sentence and a rule of its own.
 SPDX = (
     "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later "
@@ -156,23 +161,23 @@ def normalised(sentence: str) -> tuple[str, ...]:
     return tuple(WORDS.findall(sentence.lower()))
 
 
-def anchors_of(sentences: dict[str, str]) -> re.Pattern:
+def anchors_of(sentences: Iterable[str]) -> re.Pattern:
     """A pattern that every one of the sentences matches, lower-cased and however wrapped: parts of words that cover them,
     those first that cover the most. A sentence of short words only is covered by its longest."""
-    words = {name: {w for w in normalised(s.replace("{*}", " "))} for name, s in sentences.items()}
+    words = {s: set(normalised(s.replace("{*}", " "))) for s in sentences}
     left, found = set(words), []
     while left:
-        counts = Counter(w for name in left for w in words[name] if len(w) >= 6 and w not in COMMON or w == max(words[name], key=lambda x: (len(x), x)))
+        counts = Counter(w for s in left for w in words[s] if len(w) >= 6 and w not in COMMON or w == max(words[s], key=lambda x: (len(x), x)))
         best = min(counts, key=lambda w: (-counts[w], -len(w), w))
         found.append(best)
-        left -= {name for name in left if any(best in w for w in words[name])}
+        left -= {s for s in left if any(best in w for w in words[s])}
     return re.compile("|".join(map(re.escape, found)) or r"(?!)")
 
 
-def trie_of(sentences: dict[str, str]) -> dict:
+def trie_of(sentences: Iterable[tuple[str, str]]) -> dict:
     """Nested dicts by word, slots under the key ``WILD``; the identifier of a whole sentence is under the key ``None``."""
     root: dict = {}
-    for name, sentence in sentences.items():
+    for name, sentence in sentences:
         node = root
         for i, part in enumerate(sentence.split("{*}")):
             if i:
@@ -242,18 +247,21 @@ def matches(ids: list[tuple[int, int, str]], rules=RULES, gap: int = GAP) -> lis
 
 
 #: Of the own table.
-ANCHORS = anchors_of(SENTENCES)
+ANCHORS = anchors_of([*SENTENCES.values(), *(s for _, s in VARIANTS)])
 
 
-def licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES, anchors: re.Pattern | bool | None = True) -> DataFrame:
+def licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES, variants=None, anchors: re.Pattern | bool | None = True) -> DataFrame:
     """(doc_id, license, start, end, n_sentences): every match in every row of (doc_id, text); places in code points.
 
+    ``variants`` are other wordings of the sentences, by default those of the own table, and none for other tables.
     ``anchors`` spares texts that can't hold a known sentence; by default it is derived from the sentences, None for none.
     """
-    anchors = anchors_of(sentences) if anchors is True else anchors
+    variants = (VARIANTS if sentences is SENTENCES else ()) if variants is None else variants
+    named = [*sentences.items(), *variants]
+    anchors = anchors_of(s for _, s in named) if anchors is True else anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_of(sentences)
+        trie = trie_of(named)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
