@@ -14,7 +14,8 @@ DataFrame functions only. Windows and groups share one partitioning by conversat
 conversation of n turns costs n log n. What meets in one task is one conversation, which is one row of the result.
 
 Nulls: a null text or role is empty, a null kind is ``message``. A null conv_id is a conversation. Events of the same
-sequence number are taken in order of kind, role and text; repeated events count each time.
+sequence number are taken in order of turn, kind, role and text; repeated events count each time. Other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Spans under the loss mask up to which each is read as a substring of the rendering.
+SUBSTRINGS = 64
 
 
 def escaped(c: Column) -> Column:
@@ -71,7 +74,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     pattern = F.lit(r"<\|im_start\|>([^<\n]*)\n([^<]*)<\|im_end\|>\n")
     f = formatted.withColumn("roles", F.regexp_extract_all("formatted", pattern, F.lit(1))).withColumn("texts", F.regexp_extract_all("formatted", pattern, F.lit(2)))
     turns = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(unescaped(r), F.lit("\n"), unescaped(t), F.lit("\n"))), "")
-    under = F.array_join(F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    at = lambda s: ((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    # A substring costs what is before it; of many, all are cut from one array of characters.
+    few = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), *at(s))))
+    many = F.transform(F.array(F.split("formatted", "")), lambda c: F.transform("loss", lambda s: unescaped(F.array_join(F.slice(c, *at(s)), ""))))[0]
+    under = F.array_join(F.when(F.size("loss") <= SUBSTRINGS, few).otherwise(many), "")
     f = f.withColumn("under", under)
     return f.select(
         "conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
