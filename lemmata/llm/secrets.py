@@ -12,7 +12,7 @@ are shuffled once, to meet the list of rows to scan. A blob that a third of all
 findings meet its paths in a join that Spark may split.
 
 Nulls: a null text is the empty text. Rows of the same id and text are repeated rows and each gets the findings. A null
-doc_id is kept as it is.
+doc_id is kept as it is. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import row_key, table, texts_of
 
 #: Kind: (pattern, group whose length counts, its least length), in the order of kinds at one start. A least length is
 #: put into the pattern where shorter runs can't hide a match: runs of one class of characters.
@@ -70,7 +70,7 @@ def scanned(docs: DataFrame, ledger: DataFrame) -> DataFrame:
         rules = compiled()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans = [spans_of(t or "", rules) for t in batch.column("text").to_pylist()]
+            spans = [spans_of(t or "", rules) for t in texts_of(batch)]
             n = len(spans)
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([RULE_VERSION] * n, pa.string()), pa.array(spans, kind)], names=["blob", "rule_version", "spans"])
 
