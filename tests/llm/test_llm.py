@@ -34,9 +34,11 @@ def held_out(docs):
 
 @pytest.mark.parametrize("operator", [held_out, *QUERY_DOCS[1:]], ids=lambda f: f.__name__)
 def test_odd_rows_and_empty_tables(spark, operator):
-    plain = odd_docs(spark).drop("_id", "h")
-    assert operator(plain).count() >= 0
-    assert operator(plain.limit(0)).count() == 0
+    docs = odd_docs(spark)
+    rows = operator(docs).collect()
+    every = operator in (held_out, near_dedup.near_duplicates, mixing.planned, line_dedup.deduplicated)
+    assert len(rows) == len(ODD) if every else Counter(r.doc_id for r in rows) <= Counter({i: 2 * n for i, n in Counter(r[0] for r in ODD).items()})
+    assert operator(docs.limit(0)).count() == 0
 
 
 def documents(sf=SF):
@@ -141,6 +143,22 @@ def test_op5_wrapped_sentences_have_their_anchors(spark):
     assert licenses.licenses(docs).collect() == licenses.licenses(docs, anchors=None).collect() != []
 
 
+def test_op5_slots_and_own_tables(spark):
+    of = licenses.SENTENCES
+    wordings = dict(licenses.VARIANTS)
+    name = wordings["bsd-name"].replace("{*}", "ACME Mathematics Inc.", 1).replace("{*}", "its")
+    bsd = "\n * ".join((of["bsd-grant"], of["bsd-source"], of["bsd-binary"], name, of["bsd-provided"].replace("{*}", "THE AUTHOR")))
+    mit = "\n".join((of["mit-grant"], of["mit-condition"], of["mit-warranty"], wordings["mit-liability"].replace("{*}", "Jane\nDoe")))
+    long = wordings["mit-liability"].replace("{*}", " ".join(["word"] * (licenses.SLOT + 1)))
+    docs = spark.createDataFrame([(1, bsd), (2, mit), (3, long), (4, "# SPDX-License-Identifier: EPL-2.0"), (5, of["zlib-provided"] + " " + of["zlib-liable"] + "\n" + of["zlib-grant"])], "doc_id long, text string")
+    got = [(r.doc_id, r.license, r.n_sentences) for r in licenses.licenses(docs).orderBy("doc_id").collect()]
+    assert got == [(1, "BSD-3-Clause", 5), (2, "MIT", 4), (4, "EPL-2.0", 1), (5, "Zlib", 3)]
+    own = {"a": "Use it as {*} see fit", "b": "No rights at all"}
+    docs = spark.createDataFrame([(1, "Use it as you and yours see\nfit."), (2, "no RIGHTS at all"), (3, "rights")], "doc_id long, text string")
+    got = licenses.licenses(docs, own, (("free", ("a",)), ("none", ("b",)))).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.license) for r in got] == [(1, "free"), (2, "none")]
+
+
 def test_op6_rules_and_templates(spark):
     urls = ["http://A.Example.net/en/5?x", "http://b.net", "http://b.net/x", "https://x.example.com/de/1", "https://x.example.com/en/1", "ftp://q.org/fr/", None, "no scheme", "notnet/", "http://xnet/"]
     got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
