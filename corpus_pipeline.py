@@ -1,4 +1,8 @@
-"""The cleaning pipeline of a training corpus: five stages over ``documents``, each written and read again."""
+"""The cleaning pipeline of a training corpus: five stages over ``documents``, each written and read again.
+
+Columns other than doc_id, text, lang, source and n_chars are carried through all stages, whatever their names; null
+texts fail the quality rules, null ids are kept by all stages. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -43,15 +47,17 @@ STAGES = [
     ("source_mixing", source_mixing),
 ]
 
-#: Line chunks, MinHash and spaced seeds aren't SQL; tests hold the stages against brute force.
+#: Line chunks, MinHash and spaced seeds aren't SQL; tests/llm/test_brute.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage wrote is emptied once the next one's output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(before)
+        docs, before = spark.read.parquet(path), path
     return docs
