@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger written at ``path``, each blob and rule version once; empty where none has been written yet."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_ledger(spark)
+    return rows.dropDuplicates(["blob", "rule_version"])
+
+
+def append_ledger(new: DataFrame, path: str) -> None:
+    """Add what a run has scanned. A run that is repeated after a failure writes the same rows again, which reading drops."""
+    new.write.mode("append").partitionBy("rule_version").parquet(path)
+
+
 def paths_of(docs: DataFrame) -> DataFrame:
     """(doc_id, blob, _id, _th) for every row of (doc_id, text)."""
     return docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("blob"), *row_key())
