@@ -1,5 +1,6 @@
 """The operators against brute force, and with columns whose names are the operators' own."""
 
+import hashlib
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lemmata.llm import decontaminate, line_dedup, mixing, near_dedup, quality, url_filter
+from lemmata.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, quality, secrets, url_filter
 from lemmata.llm.common import WordHashes
 
 SF = "/root/testdata/sf0.001"
@@ -257,3 +258,60 @@ def test_numbers_of_pairs_are_bounded():
     seeds = decontaminate.Seeds.build([(1, "a " * 300)])
     hits = seeds.hits(WordHashes().of(decontaminate.tokens_of("a " * 4000)))
     assert len(hits) == len(np.unique(hits, axis=0)) <= 4300
+
+
+def test_op8_ledger_is_written_and_read(spark, tmp_path):
+    path, texts = str(tmp_path / "ledger"), [(1, "token: abcdefgh"), (2, None), (3, "nothing")]
+    for seen, rows in ((0, texts), (3, [*texts, (4, "secret=abcdefgh"), (5, "nothing")])):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        ledger = secrets.read_ledger(spark, path)
+        assert ledger.count() == seen
+        found, new = secrets.scan(docs, ledger)
+        assert {r.doc_id: len(r.spans) for r in found.collect()} == {i: int(bool(t) and "=" in t or ":" in (t or "")) for i, t in rows}
+        secrets.append_ledger(new, path)
+    secrets.append_ledger(new, path)
+    assert secrets.read_ledger(spark, path).count() == 4
+
+
+def fold(events):
+    """The final turns of one conversation, event by event."""
+    state = {}
+    for _, turn, kind, role, text in sorted(events):
+        if kind in ("message", "edit", "regenerate"):
+            state[turn] = [role, text]
+        if kind == "regenerate":
+            for later in [t for t in state if t > turn]:
+                del state[later]
+        if kind == "delete":
+            state[turn] = None
+        if kind == "delta":
+            if turn not in state:
+                state[turn] = [role, ""]
+            if state[turn]:
+                state[turn][1] += text
+    return {t: tuple(x) for t, x in state.items() if x}
+
+
+def test_op10_fold_against_plain_python(spark):
+    rng, logs = random.Random(8), defaultdict(list)
+    for c in range(150):
+        for seq in range(rng.randrange(1, 14)):
+            kind = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", "delete"])
+            logs[c].append((seq, rng.randrange(4), kind, rng.choice(["user", "assistant"]), f"t{rng.randrange(99)}<&"))
+    rows = [(c, s, t, k, r, x) for c, events in logs.items() for s, t, k, r, x in events]
+    rng.shuffle(rows)
+    got = defaultdict(dict)
+    turns = chat_format.final_turns(spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string"))
+    for r in turns.collect():
+        got[r.conv_id][r.turn] = (r.role, r.text)
+    assert dict(got) == {c: f for c, events in logs.items() if (f := fold(events))}
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.rendered(turns)).collect()}
+    for c, f in got.items():
+        assert back[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, (r, x) in sorted(f.items())).encode()).hexdigest()
+
+
+def test_op10_many_spans(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"é{i}<") for i in range(4 * chat_format.SUBSTRINGS)]
+    turns = chat_format.final_turns(chat_format.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    said = "".join(x for _, _, r, x in rows if r == "assistant")
+    assert chat_format.read_back(chat_format.rendered(turns)).first().loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
