@@ -76,6 +76,10 @@ QUERIES = {
     "graph_layout": q._on_graph(lambda n, e: G.layout(n)),
     "graph_files": q._entities(G.graph_files),
     "loaded_elements": _tree(lambda p, s, e: reports.loaded_trees(reports.tree_json(s, e))[1].drop("type_ord", "pos")),
+    "entity_index": q._entities(lambda e: E.last_by_key(e).select("paper_id", "type", "idx", "name", "label")),
+    "entities_by_type": q._entities(lambda e: reports.by_type(e, "lemma").select("paper_id", "idx", "name")),
+    "entity_by_label": q._entities(lambda e: reports.by_label(e, "e2").select("paper_id", "type", "idx", "name")),
+    "statistics_json": q._entities(lambda e: reports.row_json(E.category_statistics(e))),
     "section_paths": _tree(lambda p, s, e: B.section_paths(s)),
     "preambles": q._papers(D.preambles),
     "distinct_names": q._papers(lambda p: D.distinct_names(D.regex_candidates(p))),
@@ -282,6 +286,10 @@ SELECT paper_id, 'Graph score: ' || printf('%.2f', (o // 100 + CASE WHEN o % 100
 SELECT paper_id, node_id, CASE WHEN length(name) > 30 THEN left(name, 27) || '...' ELSE name END AS label, {q._COLOR} AS color, round(cos(angle), 6) + 0.0::DOUBLE AS x, round(sin(angle), 6) + 0.0::DOUBLE AS y FROM a""",
     "graph_files": _FILES,
     "loaded_elements": q.SQL["section_elements"],
+    "entity_index": f"WITH {q.ENTITIES_SQL} SELECT paper_id, type, idx, name, label FROM entities QUALIFY row_number() OVER (PARTITION BY paper_id, replace(type, '_star', ''), coalesce(label, type || '_' || idx) ORDER BY type_ord DESC, idx DESC) = 1",
+    "entities_by_type": f"WITH {q.ENTITIES_SQL} SELECT paper_id, idx, name FROM entities WHERE type = 'lemma'",
+    "entity_by_label": f"WITH {q.ENTITIES_SQL} SELECT paper_id, type, idx, name FROM entities WHERE label = 'e2' QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY type_ord DESC, idx DESC) = 1",
+    "statistics_json": f"SELECT paper_id, '{{' || {' || chr(44) || '.join(_quoted(f'"{c}":') + f' || {c}' for c in [*P.CATEGORIES.values(), 'total'])} || '}}' AS json FROM ({q.SQL['category_statistics']})",
     "section_paths": f"WITH {q._TREE} SELECT a.paper_id, CAST(a.section_id AS INTEGER) AS section_id, CAST(1 + (a.parent_id IS NOT NULL)::INT + (b.parent_id IS NOT NULL)::INT AS INTEGER) AS depth, concat_ws(' / ', c.title, b.title, a.title) AS path FROM sections a LEFT JOIN sections b ON b.paper_id = a.paper_id AND b.section_id = a.parent_id LEFT JOIN sections c ON c.paper_id = b.paper_id AND c.section_id = b.parent_id",
     "preambles": f"WITH {PAPERS_SQL} SELECT paper_id, {_PRE} AS preamble FROM papers",
     "distinct_names": f"WITH {q._CANDIDATES} SELECT paper_id, coalesce(string_agg(DISTINCT content, ',' ORDER BY content) FILTER (bucket = 'labels'), '') AS labels, coalesce(string_agg(DISTINCT content, ',' ORDER BY content) FILTER (bucket = 'refs'), '') AS refs FROM candidates GROUP BY 1",

@@ -42,10 +42,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"), F.expr(REVIEW_TEXT).alias("text"))
 
 
-def _ladder(column: str):
-    return lambda spark, sf_dir: G.quality(E.latex_entities(papers(spark, sf_dir))).select("paper_id", F.col(column).alias("score"))
-
-
 def _entities(f):
     return lambda spark, sf_dir: f(E.latex_entities(papers(spark, sf_dir)))
 

@@ -11,7 +11,6 @@ from lemmata.operators import entities as E
 from lemmata.operators import graph as G
 from lemmata.operators import messages as M
 from lemmata.operators import rebuild as B
-from lemmata.operators import tree as R
 from lemmata.plans import more
 from lemmata.plans.corpus import papers as corpus
 
