@@ -88,7 +88,7 @@ QUERIES = {
     "graph_nodes": _on_graph(lambda n, e: n.select("paper_id", "node_id", "type", "name", "short_name")),
     "graph_edges": _on_graph(lambda n, e: e),
     "graph_degrees": _on_graph(G.degrees),
-    "graph_components": _on_graph(G.components),
+    "graph_components": _entities(G.paper_components),
     "graph_quality": _entities(lambda e: G.quality(e).select("paper_id", *P.CATEGORIES.values(), "total", "n", "m", "isolated", "connected_ratio", "isolated_ratio", "density", *(F.col(c).cast("double").alias(c) for c in ("coverage", "connectivity", "balance", "completeness", "density_score", "overall")), "grade")),
     "graph_recommendations": _entities(lambda e: G.recommendations(G.quality(e))),
     "export_dot": _on_graph(G.dot_lines),

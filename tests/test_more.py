@@ -54,7 +54,7 @@ def test_a_paper_of_five_thousand_sections(spark):
     assert D.document_chunks(p).count() > 10
     e = E.latex_entities(p)
     n = G.nodes(e)
-    assert G.components(n, G.edges(e, n)).first().num_components == 1
+    assert G.components(n, G.edges(e, n)).first().num_components == G.paper_components(e).first().num_components == 1
     q = G.quality(e).first()
     assert (q.n, q.m, q.isolated, q.lemmas, q.total) == (5000, 4999, 0, 5000, 5000)
 
@@ -65,6 +65,7 @@ def test_counts_are_those_of_nodes_and_edges(spark):
     n = G.nodes(e)
     d = {r.node_id: (r.in_degree, r.out_degree) for r in G.degrees(n, G.edges(e, n)).collect()}
     assert d == {"a": (2, 2), "b": (1, 1), "remark_Remark 1": (0, 0), "equation_Equation 1": (0, 0)}
+    assert G.components(n, G.edges(e, n)).collect() == G.paper_components(e).collect() != []
     c = G.paper_counts(e).first()
     assert (c.n, c.m, c.isolated, c.theorems, c.lemmas, c.total) == (4, 3, 2, 1, 1, 5)
 
