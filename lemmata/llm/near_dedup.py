@@ -1,9 +1,8 @@
 """MinHash near-duplicate detection with odd sketches.
 
 1. Each document's word shingles are hashed; documents of equal shingle sets are one node (its least doc_id).
-2. Each node gets MinHash samples, and bands of samples make bucket keys. Its shingles' own hashes (the samples of a
-   one-permutation MinHash with a bin for every hash value) are folded into a parity bitmap of 1,024 bits, an odd
-   sketch. The population count of two sketches' XOR is at most the size of the sets' symmetric difference, which at
+2. Each node gets MinHash samples, and bands of samples make bucket keys. The hashes of all its shingles, not its MinHash
+   samples, are folded into a parity bitmap of 1,024 bits, an odd sketch. The population count of two sketches' XOR is at most the size of the sets' symmetric difference, which at
    the threshold is (1 - t) / (1 + t) of both sizes: a pair above that can't link, so the sketch loses nothing.
 3. Each node is first checked against two of its neighbours: bucket leaders, and those next to it when a bucket is in
    hashed order (large buckets are ordered in parts, so no task sees a whole one). Links are confirmed on full shingle sets, and components made of them.
@@ -15,7 +14,8 @@ No bucket is capped. A link is missed only if all bands miss it (under 1e-7 at t
 
 Nulls and edges: a text that is null or has no word has an empty set and links with nothing; a text of fewer words than
 a shingle has its whole sequence as its one shingle. Rows of the same doc_id are the same node when their sets agree
-and are united when they don't. A null doc_id takes no part: its component is null and it is kept.
+and are united when they don't. A null doc_id takes no part: its component is null and it is kept. Other columns are
+carried by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, mix, signed, table, words_lower
+from .common import WordHashes, checkpoint, enclosed, mix, released, signed, table, texts_of, words_lower
 from .graph import components
 
 SKETCH_BITS = 1024
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             n, f1, f2, keys, sketch = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch):
                 s = shingle_set(words_lower(text), width, hashes)
                 n.append(len(s))
                 f1.append(int(signed(s).sum()))
@@ -123,7 +123,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+            data = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts_of(batch)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "data": pa.array(data, pa.binary())})
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for x, p, q in zip(a, batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
+            for x, p, q in zip(a, texts_of(batch, "pa"), texts_of(batch, "pb"), strict=True):
                 if x != last:
                     last, left = x, shingle_set(zlib.decompress(p).lower().split(), width, hashes)
                 right = shingle_set(zlib.decompress(q).lower().split(), width, hashes)
@@ -201,9 +201,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document (the least doc_id) of each group of near-duplicates."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one document (the least doc_id) of each group of near-duplicates; rows of that id all stay."""
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = enclosed(docs, F.col("doc_id").alias("id"))
+    return released(rows.join(gone, F.col("id") == F.col("gone"), "left_anti"), docs)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
