@@ -101,7 +101,7 @@ QUERIES = {
     "offline_verdicts": _papers(lambda p: A.verified(D.regex_candidates(p), most=None).select("paper_id", "element_type", "verdict.statement", "verdict.is_valid")),
     "pipeline_status": _status,
     "preamble_packages": _papers(D.packages),
-    "section_tree": _papers(lambda p: D.section_tree(p).withColumn("content_length", F.length("raw_content")).drop("raw_content")),
+    "section_tree": _papers(lambda p: D.section_tree(p).withColumns({"content_length": F.length("raw_content"), "content_md5": F.md5(F.col("raw_content").cast("binary"))}).drop("raw_content")),
     "section_paragraphs": _papers(lambda p: D.paragraphs(D.section_tree(p))),
     "custom_commands": _papers(R.custom_commands),
     "section_elements": _papers(lambda p: R.section_elements(D.section_tree(p)).drop("type_ord", "pos")),
@@ -229,7 +229,7 @@ FROM o LEFT JOIN ns USING (paper_id) LEFT JOIN ne USING (paper_id) LEFT JOIN nl
     "offline_verdicts": f"WITH {_CANDIDATES} SELECT paper_id, element_type, left(content, 200) AS statement, true AS is_valid FROM candidates WHERE needs_verification",
     "export_mermaid": f"""WITH {_GRAPH} SELECT paper_id, '    ' || {_SAFE('node_id')} || '["' || replace(replace(replace(replace(name, '[', '&#91;'), ']', '&#93;'), '(', '&#40;'), ')', '&#41;') || '"]' AS line FROM nodes UNION ALL SELECT paper_id, '    class ' || {_SAFE('node_id')} || ' ' || type || ';' FROM nodes WHERE type IN ({', '.join(f"'{t}'" for t in P.COLORS)}) UNION ALL SELECT paper_id, '    ' || {_SAFE('src')} || ' --> ' || {_SAFE('dst')} FROM edges""",
     "preamble_packages": rf"WITH {PAPERS_SQL}, p AS (SELECT paper_id, regexp_extract_all(regexp_extract(tex, '(?s)^(.*?)\\begin\{{document\}}', 1), '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}') AS m FROM papers), u AS (SELECT paper_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS m FROM p) SELECT paper_id, pos, regexp_extract(m, '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}', 2) AS name, coalesce(regexp_extract(m, '\\usepackage(?:\[(.*?)\])?\{{(.*?)\}}', 1), '') AS options FROM u",
-    "section_tree": f"WITH {_TREE} SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, CAST(parent_id AS INTEGER) AS parent_id, level, type, title, label, CAST(length(p) + length(more) AS INTEGER) AS content_length FROM sections",
+    "section_tree": f"WITH {_TREE} SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, CAST(parent_id AS INTEGER) AS parent_id, level, type, title, label, CAST(length(p) + length(more) AS INTEGER) AS content_length, md5(p || more) AS content_md5 FROM sections",
     "section_paragraphs": rf"""WITH {_TREE}, q AS (SELECT paper_id, section_id, list_filter(list_transform(string_split(regexp_replace(p || more, '(?s)\\begin\{{.*?\}}.*?\\end\{{.*?\}}', '', 'g'), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '\')) AS ps FROM sections) SELECT paper_id, CAST(section_id AS INTEGER) AS section_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS pos, unnest(ps) AS text FROM q""",
     "original_counts": rf"WITH {PAPERS_SQL} SELECT paper_id, {_COUNT(r'\\section\{')} AS sections, {_COUNT(r'\\subsection\{')} AS subsections, "
     rf"{' + '.join(_COUNT(rf'\\begin\{{{e}\}}') for e in P.CANDIDATE_ENVIRONMENTS)} AS theorems, {', '.join(_COUNT(rf'\\begin\{{{e}\}}') + f' AS {P.CATEGORIES[e]}' for e in ('definition', 'lemma', 'proposition', 'corollary'))}, "
