@@ -35,6 +35,8 @@ from .common import WordHashes, enclosed, mix, opened, released, rounds, row_key
 #: Letters of scripts without spaces.
 SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[^\W_{SINGLE}]+|(?![\W_])[{SINGLE}]")
+#: The same for texts without such letters.
+RUN, UNSPACED = re.compile(r"[^\W_]+"), re.compile(f"[{SINGLE}]")
 #: 1: the token counts; 0: it may differ. Any one substitution in nine tokens leaves one of these a hit.
 MASKS = ("1101011", "1110101", "1011101", "1111001")
 #: Of items from SPAN to WINDOW tokens too: one substitution in seven tokens leaves one of these a hit, at an end as well.
@@ -46,8 +48,9 @@ ROUND_CHARS = 4 << 20
 PAIRS = 1 << 20
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in TOKEN.findall(text.lower())] if text else []
+def tokens_of(text: str | None) -> list[str]:
+    low = text.lower() if text else ""
+    return (RUN if low.isascii() or not UNSPACED.search(low) else TOKEN).findall(low)
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
