@@ -45,8 +45,9 @@ MU = 256.0
 BITS_PER_ENTRY = 16
 #: Bytes of text per filter block, in the mean.
 BLOCK_BYTES = 1 << 20
-#: Most bytes of one part, which is what a worker holds at once, and of all parts of a pass.
-PART_BYTES, PASS_BYTES = 16 << 20, 1 << 30
+#: Most bytes of one part, which is what a worker holds at once, and of all parts of a pass, which executors keep on disk.
+#: The model of compressed Parquet takes half to four fifths of its bytes (measured on 102 MB and on 16 MB).
+PART_BYTES, PASS_BYTES = 16 << 20, 4 << 30
 #: Tokens that a worker handles together.
 GROUP_TOKENS = 1 << 20
 START = np.uint64(WordHashes()[b"\x20"])
