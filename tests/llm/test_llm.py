@@ -64,10 +64,11 @@ def test_op1_base_scores_and_rounds(spark):
         words = split(t)
         assert one[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words))
         assert (one[i].n_tokens, one[i].n_known, one[i].train_tokens) == (len(words), sum(c[w] > 0 for w in words), total)
-    more = {r.doc_id: r for r in lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, part_bytes=1 << 14, pass_bytes=1 << 16, block_bytes=1 << 13).collect()}
+    scored = lambda **sizes: {r.doc_id: r for r in lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, block_bytes=1 << 13, **sizes).collect()}
+    whole, more = scored(), scored(part_bytes=1 << 14, pass_bytes=1 << 16)
+    assert all(more[i].score == pytest.approx(whole[i].score) and more[i].n_known == one[i].n_known for i in texts)
     # Other blocks have other false positives.
-    assert all(more[i].score == pytest.approx(one[i].score, rel=0.03) and more[i].n_known == one[i].n_known for i in texts)
-    assert all(more[i].base_score == pytest.approx(one[i].base_score) for i in texts)
+    assert all(more[i].score == pytest.approx(one[i].score, rel=0.03) and more[i].base_score == pytest.approx(one[i].base_score) for i in texts)
     out = [r for r in one.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     # The model with exact quantised counts; the filter's false positives are all that may differ.
