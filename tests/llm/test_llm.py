@@ -297,3 +297,16 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert set(docs.columns) <= set(out.columns)
     assert 0 < out.select("doc_id").distinct().count() < docs.count()
+
+
+def test_matches_are_compared_whole_not_by_hashes(spark, monkeypatch):
+    class Clashing:
+        xxhash64 = hash = staticmethod(lambda *c: F.lit(7).cast("long"))
+
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+    texts = [" ".join(f"{w}{i}" for i in range(80)) + "." for w in ("a", "b", "c", "d")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "F", Clashing())
+    assert [r._text for r in line_dedup.deduplicated(docs).orderBy("doc_id").collect()][:4] == texts
