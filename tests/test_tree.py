@@ -102,3 +102,9 @@ def test_tree_quality_derives_the_sections_three_times(spark):
     plan = lambda name: more.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     for name in ("tree_quality", "tree_summaries"):
         assert plan(name).count("posexplode(") <= 3
+
+
+def test_pipeline_status_derives_the_sections_three_times(spark):
+    from lemmata.plans import queries
+
+    assert queries.QUERIES["pipeline_status"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("posexplode(") <= 3
