@@ -310,3 +310,14 @@ def test_matches_are_compared_whole_not_by_hashes(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
     monkeypatch.setattr(line_dedup, "F", Clashing())
     assert [r._text for r in line_dedup.deduplicated(docs).orderBy("doc_id").collect()][:4] == texts
+
+
+def test_op9_words_beside_matches_travel_as_strings_and_extend_as_before(spark):
+    words = lambda k, n: " ".join(f"{k}word{i}" for i in range(n))
+    # The passage begins and ends inside of a line; a line feed and a long word stand where it is extended.
+    shared = "left side next\nto " + "x" * 40 + " it. " + words("s", 60) + ". then right side " + "y" * 40 + " too"
+    docs = spark.createDataFrame([(1, f"{words('a', 9)} {shared} {words('b', 9)}."), (2, f"{words('c', 9)} {shared} {words('d', 9)}.")], "doc_id long, text string")
+    gone = line_dedup.removals(docs)
+    assert gone.schema["gone"].dataType.elementType.jsonValue()["fields"][-1]["type"] == "string"
+    left = {r.doc_id: r._text for r in line_dedup.deduplicated(docs).collect()}
+    assert left == {1: docs.where("doc_id = 1").first().text, 2: f"{words('c', 9)} {words('d', 9)}."}
