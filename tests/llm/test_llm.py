@@ -321,3 +321,14 @@ def test_op9_words_beside_matches_travel_as_strings_and_extend_as_before(spark):
     assert gone.schema["gone"].dataType.elementType.jsonValue()["fields"][-1]["type"] == "string"
     left = {r.doc_id: r._text for r in line_dedup.deduplicated(docs).collect()}
     assert left == {1: docs.where("doc_id = 1").first().text, 2: f"{words('c', 9)} {words('d', 9)}."}
+
+
+def test_op9_cuts_read_forward_as_if_looking_back(spark):
+    back = {"CLAUSE": r"(?<=[.!?,;:][\x20\t\n\r])", "TOKEN": r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"}
+    odd = ["", " ", ".", ". ", ".\n", " .", "a.. b.c,\td", ".,", "a, b!? c \r\n:x", "é;\x0b漢 : 字", "1." * 100_000, "x" * 200_000, ". " * 20_000, " \n" * 20_000]
+    docs = spark.createDataFrame([(t,) for t in [None, *odd, *documents().values()]], "text string")
+    for name, pattern in back.items():
+        assert docs.where(~F.split("text", pattern).eqNullSafe(line_dedup.pieces(F.col("text"), getattr(line_dedup, name)))).count() == 0
+    assert docs.where(~F.replace("text", F.lit("\n"), F.lit(" ")).eqNullSafe(line_dedup.spaced(F.col("text")))).count() == 0
+    # No split looks back from each place of a text, and a value that is bound isn't copied by a transform over it.
+    assert not [c for c in ("'(?<=[.!?", "transform(array(") if c in str(line_dedup.chunk_rows(F.col("text")))]
